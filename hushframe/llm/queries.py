@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import bpe, decontaminate, quality, simhash, substring, toxicity
-from hushframe.llm.kit import fold
+from hushframe.llm import bpe, decontaminate, html, lm, quality, sharding, simhash, substring, token_counts, toxicity
+from hushframe.llm.kit import checkpoint_dir, fold
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,33 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup after four batches: every document under two tokenizer versions; the second version's counts of all
+    documents revised; that batch once more (no effect); and the documents with a reserved-rights line deleted."""
+    docs = read(spark, sf_dir, "documents")
+    words, rough, exact = token_counts.count_words(F.col("text")), F.ceil(F.octet_length("text") / 4), F.ceil(F.length("text") / 4)
+    rollup = token_counts.Rollup(spark, f"{checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    load = token_counts.inserts(docs, "words-1", words).unionByName(token_counts.inserts(docs, "quarter-1", rough))
+    revise = docs.select(F.lit("revise").alias("op"), "source", "lang", F.lit("quarter-1").alias("tokenizer"), exact.cast("long").alias("tokens"), rough.cast("long").alias("old_tokens"))
+    gone = docs.where(F.col("text").rlike(r"All rights reserved\."))
+    drop = token_counts.inserts(gone, "words-1", words).unionByName(token_counts.inserts(gone, "quarter-1", exact)).withColumn("op", F.lit("delete"))
+    for name, changes in (("load", load), ("revise", revise), ("revise", revise), ("licence", drop)):
+        rollup.commit(name, changes)
+    return rollup.totals()
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), tokenizer())
 
@@ -52,12 +80,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_bpe": op2_bpe,
+    "op3_html": op3_html,
+    "op4_lm": op4_lm,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash": op6_simhash,
+    "op7_sharding": op7_sharding,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE_SQL}
+#: The same totals from the documents as they are, without batches.
+TOKEN_SQL = r"""
+WITH d AS (SELECT source, lang, text FROM documents WHERE text IS NULL OR text NOT LIKE '%All rights reserved.%')
+SELECT source, lang, tokenizer, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM (
+  SELECT source, lang, 'words-1' AS tokenizer, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n FROM d
+  UNION ALL SELECT source, lang, 'quarter-1', coalesce(CAST(ceil(length(text) / 4.0) AS BIGINT), 0) FROM d
+) GROUP BY source, lang, tokenizer
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_token_counts": TOKEN_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL}
