@@ -93,8 +93,8 @@ def _nodes(tree) -> list[str]:
         name = node.nodeName().strip("'")
         relation = ".".join(_seq(node.multipartIdentifier())) if name == "UnresolvedRelation" else ""
         out.append(json.dumps({"name": name, "relation": relation}))
-        kids = [*_seq(node.children()), *_seq(node.innerChildren())]
-        stack += [k for k in kids if hasattr(k, "nodeName") and "logical" in k.getClass().getName() or "analysis.Unresolved" in k.getClass().getName() and "Relation" in k.getClass().getName()]
+        # children are plans; inner children are those of WITH and of subqueries
+        stack += [*_seq(node.children()), *_seq(node.innerChildren())]
     return out
 
 

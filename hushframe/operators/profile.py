@@ -65,7 +65,7 @@ def _scalars(df: DataFrame, n: str, i: int) -> dict:
         if is_numeric(t) and not isinstance(t, T.DecimalType):
             out[f"ser{i}"] = F.avg(P.excel_serial(c).cast("int"))
         if is_integer(t):
-            out[f"luhn{i}"] = F.bool_and(P.luhn_ok(c))
+            out[f"luhn{i}"] = F.bool_and(F.when(c.isNotNull(), P.luhn_ok(c)))
     return out
 
 
