@@ -216,7 +216,7 @@ def _encoded(docs: DataFrame, path: str, one, schema: str, names: list[str]) ->
         codec = _codec(shared)
         texts = [x or "" for x in batch.column("text").to_pylist()]
         rows = [one(codec, x, ids) for x, ids in zip(texts, codec.encode_batch(texts), strict=True)]
-        cols = [pa.array(c) for c in zip(*rows, strict=True)] if rows else []
+        cols = [pa.array(c, pa.list_(pa.int32()) if name == "ids" else None) for name, c in zip(names, zip(*rows, strict=True), strict=True)] if rows else []
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", *names]) if rows else None
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema, rows=256)
@@ -237,7 +237,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, ids array<int>)``; a null text is empty and has no ids; each row gives a row."""
 
     def one(codec: Codec, text: str, ids: bytes) -> tuple:
-        return (list(memoryview(ids).cast("I")),)
+        return (np.frombuffer(ids, "<i4"),)
 
     return _encoded(docs, path, one, "doc_id long, ids array<int>", ["ids"])
 
