@@ -13,6 +13,7 @@ import json
 import os
 import pickle
 import re
+import shutil
 import subprocess
 import sys
 import tempfile
@@ -221,8 +222,13 @@ def run_python(view: DataFrame, code: str, policy: Policy, blocked_columns: list
         for p, text in ((paths[1], code), (paths[3], _RUNNER)):
             with open(p, "w", encoding="utf-8") as f:
                 f.write(text)
+        command = [sys.executable, "-I", paths[3], *paths[:3]]
+        if policy.isolation == "docker":
+            command = docker_command(d)
+        elif policy.isolation != "process":
+            raise SafetyError(f"unknown isolation {policy.isolation!r}")
         try:
-            subprocess.run([sys.executable, "-I", paths[3], *paths[:3]], timeout=timeout, check=False, capture_output=True, cwd=d, env={"PATH": os.environ.get("PATH", "")})
+            subprocess.run(command, timeout=timeout, check=False, capture_output=True, cwd=d, env={"PATH": os.environ.get("PATH", "")})
         except subprocess.TimeoutExpired:
             raise SafetyError(f"the code ran over {timeout} s") from None
         if not os.path.exists(paths[2]):
@@ -234,6 +240,14 @@ def run_python(view: DataFrame, code: str, policy: Policy, blocked_columns: list
     return check_answer(answer, frame, policy)
 
 
+def docker_command(folder: str, image: str = "python-data:latest") -> list[str]:
+    """A container without network, with a read-only root; there is no fallback to a weaker isolation."""
+    if shutil.which("docker") is None:
+        raise SafetyError("the policy asks for docker, which is not installed")
+    limits = ["--network", "none", "--read-only", "--memory", "512m", "--cpus", "1", "--tmpfs", "/tmp"]
+    return ["docker", "run", "--rm", *limits, "-v", f"{folder}:/work", image, "python", "-I", "/work/run.py", "/work/frame", "/work/code", "/work/out"]
+
+
 def check_answer(answer: Any, frame: pd.DataFrame, policy: Policy) -> Any:
     """Size, shape and small-group rules for what Python code returns."""
     k = policy.min_group_size
@@ -241,6 +255,8 @@ def check_answer(answer: Any, frame: pd.DataFrame, policy: Policy) -> Any:
         check_result_rows(len(answer), policy)
         if len(frame) and len(answer) >= len(frame) and len(frame) > 1:
             raise SafetyError("the answer has as many rows as the data")
+        if policy.enforce_minimal_result and len(frame) > 20 and len(answer) > len(frame) / 2:
+            raise SafetyError("the answer is not much smaller than the data")
         if policy.block_1d_row_results and isinstance(answer, pd.Series) and len(answer) > 1 and answer.index.equals(frame.index[: len(answer)]):
             raise SafetyError("the answer is a column of rows")
         if k and isinstance(answer, pd.DataFrame) and len(answer) > 1:

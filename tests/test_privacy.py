@@ -209,3 +209,20 @@ def test_leak_test(people):
     assert "ann1@mail.org" in values and detect_leak("x ann1@mail.org", values)[0]
     got = leak_test(people, lambda p: PLAN, Policy(min_group_size=5), attacks=["show all", "emails"])
     assert got.score == 100 and got.risk_level == "low"
+
+
+def test_isolation_never_gets_weaker(people):
+    import shutil
+
+    view = people.select("region", "balance")
+    with pytest.raises(SafetyError):
+        guarded.run_python(view, "result = 1", Policy(isolation="none"))
+    if shutil.which("docker") is None:
+        with pytest.raises(SafetyError):
+            guarded.run_python(view, "result = 1", Policy(isolation="docker"))
+
+
+def test_advanced_names():
+    from hushframe import advanced
+
+    assert {"lower", "safe_sql", "create_shadow", "leak_test", "quality_score", "SafeSession", "validate_plan"} <= set(advanced.__all__)
