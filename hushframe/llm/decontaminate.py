@@ -55,7 +55,8 @@ def sketches(items: DataFrame, k: int = SHINGLE, containment: float = CONTAINMEN
 def contaminated(docs: DataFrame, items: DataFrame, k: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
     """``(doc_id, item_id, n_shared, n_shingles)`` for every pair that reaches the containment.
 
-    Null and empty texts contain nothing; items without words are in no document; items or documents with a null
+    An item of fewer than ``k`` words is one shingle of them all, so only a document of just these words holds it: a
+    phrase that short inside other text is no evidence.  Null and empty texts contain nothing; items without words are in no document; items or documents with a null
     id are not searched; repeated rows of an id are searched as one set of shingles each and reported once; other
     columns are ignored.
     """
