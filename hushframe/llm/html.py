@@ -33,6 +33,8 @@ MARKS = _names(
     "copyright legal disclaimer contentinfo complementary dialog hidden"
 )
 REMARKS = _names("comment comments commentlist reply replies respond discussion disqus")
+TITLES = _names("post article entry story title content")
+LAYOUT = _names("with has no without layout")
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "marked", "article", "heading", "item")
 
 _token = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
@@ -50,6 +52,10 @@ def _traits(name: str, attrs: str, inside: bool) -> tuple[bool, bool, bool, bool
                 hidden = True
             elif key in ("class", "id", "role") and name not in ("html", "body"):
                 tokens = set(_cut.split(value))
+                if tokens & TITLES:
+                    tokens -= {"header"}  # the article's own
+                if tokens & LAYOUT:
+                    tokens -= MARKS  # says what stands beside it
                 marked |= bool(tokens & (REMARKS if name in ("article", "main") else MARKS))
                 furniture |= key == "role" and bool(tokens & {"navigation", "banner", "search"})
                 article |= key == "role" and bool(tokens & {"main", "article"})
@@ -192,11 +198,15 @@ def model() -> Nodes:
 
 
 def main_text(page: str) -> str:
-    """Main blocks joined by newlines; empty if the page has none."""
+    """Main blocks joined by newlines; empty if the page has none.  Marks count only where something is left without them."""
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    keep = model().score(features(blocks)) >= 0.5
+    x = features(blocks)
+    keep = model().score(x) >= 0.5
+    if not keep.any():  # a mark on what encloses everything tells nothing
+        x[:, FEATURES.index("marked")] = 0
+        keep = model().score(x) >= 0.5
     return "\n".join(t for (t, _, _), k in zip(blocks, keep, strict=True) if k)
 
 

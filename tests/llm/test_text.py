@@ -56,6 +56,9 @@ PAGES = [
     ("<div class=header>Site</div><div class=story><h1>Title</h1><p>One two three four five.</p></div><div id=comments><p>I think that this is a long comment about things.</p></div>", "Title\nOne two three four five."),
     ("<script>var a='<p>no</p>';</script><style>p{}</style><!-- <p>no</p> --><p>Yes it is here", "Yes it is here"),
     ("<main><p>Kept text of a few words</p><form><p>Your name</p><input></form><aside><p>Also read this</p></aside></main><div class='cookie-banner'>We use cookies</div>", "Kept text of a few words"),
+    ("<article><header class='entry-header'><h1>Head line</h1></header><p>Some text of words here.</p><footer class=entry-footer>Filed under x</footer></article>", "Head line\nSome text of words here."),
+    ("<body class='with-sidebar'><div class='layout-sidebar'><h1>Head line</h1><p>Some text of words here.</p></div><div id=sidebar><p>Other words beside</p></div>", "Head line\nSome text of words here."),
+    ("<div class='ad'><h1>Head line</h1><p>Some text of words here.</p></div>", "Head line\nSome text of words here."),
     ("", ""), ("<p>", ""), ("just text of words", "just text of words"),
 ]
 
