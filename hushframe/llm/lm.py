@@ -21,18 +21,42 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm.kit import mix, runs, table
 
-FOLDS, DELETED, BATCH, RANGE = 10, 1, 1_500_000, 1_500_000
+FOLDS, DELETED, BATCH, RANGE = 10, 1, 400_000, 500_000
 _END = b" "  # no word holds a space
 _BITS = 46  # of a word pair's hash
 _BIN, _LOW, _BINS = 0.02, -8.0, 1000
 
 
+def _squeeze(raw: bytes) -> bytes:
+    """Blobs travel compressed: small rows keep the executors' heaps small."""
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _open(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+def _six(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences in two planes: the low six bytes (random) and the high two (mostly zero)."""
+    step = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+    return len(keys).to_bytes(4, "little") + step[:, :6].tobytes() + _squeeze(step[:, 6:].tobytes())
+
+
+def _unsix(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    step = np.empty((n, 8), np.uint8)
+    step[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 4).reshape(-1, 6)
+    step[:, 6:] = np.frombuffer(_open(raw[4 + 6 * n :]), np.uint8).reshape(-1, 2)
+    return np.cumsum(step.view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def encode(docs: DataFrame) -> DataFrame:
     """Batches ``(batch, kind, ids, folds, sizes, vocab, seq)``; kind 1: rows of the deleted fold, 0: all others."""
 
@@ -53,7 +77,7 @@ def encode(docs: DataFrame) -> DataFrame:
             seq = where[np.array(seq, np.int64)].astype("<u4")
             made += 1
             out = pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | made]), pa.array([kind], pa.int32()), pa.array([[i for i, _, _ in rows]], pa.list_(pa.int64())), pa.array([[f for _, f, _ in rows]], pa.list_(pa.int32())), pa.array([sizes], pa.list_(pa.int32())), pa.array([vocab.tobytes()], pa.binary()), pa.array([seq.tobytes()], pa.binary())],
+                [pa.array([part << 32 | made]), pa.array([kind], pa.int32()), pa.array([[i for i, _, _ in rows]], pa.list_(pa.int64())), pa.array([[f for _, f, _ in rows]], pa.list_(pa.int32())), pa.array([sizes], pa.list_(pa.int32())), pa.array([_six(vocab)], pa.binary()), pa.array([_squeeze(seq.tobytes())], pa.binary())],
                 names=["batch", "kind", "ids", "folds", "sizes", "vocab", "seq"],
             )
             held[kind] = []
@@ -83,7 +107,7 @@ class _Coded:
 
     def __init__(self, row: dict) -> None:
         self.kind = row["kind"]
-        self.vocab, self.seq = np.frombuffer(row["vocab"], np.uint64), np.frombuffer(row["seq"], "<u4").astype(np.int64)
+        self.vocab, self.seq = _unsix(row["vocab"]), np.frombuffer(_open(row["seq"]), "<u4").astype(np.int64)
         self.sizes = np.array(row["sizes"], np.int64)
         self.folds = np.array(row["folds"], np.int64)
         end = int(np.searchsorted(self.vocab, np.uint64(xxhash.xxh64_intdigest(_END))))
@@ -98,15 +122,19 @@ class _Coded:
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, in four bytes each where they fit."""
+    """Sorted keys as differences, in four bytes each where they fit, else in six and a little."""
     step = np.diff(keys, prepend=np.uint64(0))
     first, rest = int(step[0]), step[1:]
+    if len(rest) and int(rest.max()) >= 1 << 32 and len(rest) > 64:
+        return bytes([2]) + _six(keys)
     small = not len(rest) or int(rest.max()) < 1 << 32
     return bytes([small]) + first.to_bytes(8, "little") + rest.astype("<u4" if small else "<u8").tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    rest = np.frombuffer(raw, "<u4" if raw[0] else "<u8", offset=9).astype(np.uint64) if (len(raw) - 9) % (4 if raw[0] else 8) == 0 else None
+    if raw[0] == 2:
+        return _unsix(raw[1:])
+    rest = np.frombuffer(raw, "<u4" if raw[0] else "<u8", offset=9).astype(np.uint64)
     return np.cumsum(np.r_[np.uint64(int.from_bytes(raw[1:9], "little")), rest], dtype=np.uint64)
 
 
@@ -114,18 +142,19 @@ def _small(v: np.ndarray) -> bytes:
     """Counts in one, two, four or eight bytes each; the first byte tells."""
     top = int(v.max(initial=0))
     size = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([size]) + v.astype(f"<u{size}").tobytes()
+    return bytes([size]) + _squeeze(v.astype(f"<u{size}").tobytes())
 
 
 def _large(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    return np.frombuffer(_open(raw[1:]), f"<u{raw[0]}").astype(np.int64)
 
 
 def totals(coded: DataFrame, order: int, entries: int) -> DataFrame:
-    """Corpus counts of every batch's keys: ``(batch, range, n, train, deleted, own_new, own_sum)``.
+    """Corpus counts of every batch's keys: ``(batch, range, kind, train, deleted, own_new, own_sum, own_deleted)``.
 
-    ``train`` and ``deleted`` are packed counts in the order of the batch's keys; in each range's first row, ``own_new``
-    is the number of keys seen in training and ``own_sum`` the training tokens.
+    ``train`` and ``deleted`` are packed counts in the order of the batch's keys (``deleted`` for batches of the deleted
+    fold only); in each range's first row, ``own_new`` is the number of keys seen in training, ``own_sum`` the training
+    tokens and ``own_deleted`` those of the deleted fold.
     """
     bits = max(0, int(np.ceil(np.log2(max(entries / RANGE, 1)))))
     width = 64 if order == 1 else _BITS
@@ -162,22 +191,22 @@ def totals(coded: DataFrame, order: int, entries: int) -> DataFrame:
                 back = [place[e - len(k) : e] for e, k in zip(ends, keys, strict=True)]
                 n = len(back)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("batch"), part.column("range"), pa.array([_small(train[p]) for p in back], pa.binary()), pa.array([_small(dev[p]) for p in back], pa.binary()), pa.array([int((train > 0).sum())] + [0] * (n - 1)), pa.array([int(train.sum())] + [0] * (n - 1)), pa.array([int(dev.sum())] + [0] * (n - 1))],
-                    names=["batch", "range", "train", "deleted", "own_new", "own_sum", "own_deleted"],
+                    [part.column("batch"), part.column("range"), part.column("kind"), pa.array([_small(train[p]) for p in back], pa.binary()), pa.array([_small(dev[p]) if k else None for p, k in zip(back, kinds, strict=True)], pa.binary()), pa.array([int((train > 0).sum())] + [0] * (n - 1)), pa.array([int(train.sum())] + [0] * (n - 1)), pa.array([int(dev.sum())] + [0] * (n - 1))],
+                    names=["batch", "range", "kind", "train", "deleted", "own_new", "own_sum", "own_deleted"],
                 )
 
     sent = coded.mapInArrow(send, "range long, batch long, kind int, keys binary, counts binary")
     dealt = sent.repartition(1 << bits, "range").sortWithinPartitions("range", "batch")
-    return table(dealt.mapInArrow(add, "batch long, range long, train binary, deleted binary, own_new long, own_sum long, own_deleted long"), f"totals{order}")
+    return table(dealt.mapInArrow(add, "batch long, range long, kind int, train binary, deleted binary, own_new long, own_sum long, own_deleted long"), f"totals{order}")
 
 
 def _joined(coded: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
-    gather = lambda df, name: df.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("range", "train", "deleted"))).alias(name))
+    gather = lambda df, name: df.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("range", *(c for c in ("train", "deleted") if c in df.columns)))).alias(name))
     return coded.join(gather(one, "one"), "batch").join(gather(two, "two"), "batch")
 
 
-def _counts(row: dict, name: str) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.concatenate([_large(x[k]) for x in row[name]]) for k in ("train", "deleted"))
+def _counts(row: dict, name: str, of: str = "train") -> np.ndarray:
+    return np.concatenate([_large(x[of]) for x in row[name]])
 
 
 def _bucket(c: np.ndarray) -> np.ndarray:
@@ -191,8 +220,8 @@ def weights(joined: DataFrame, n_kept: int, rounds: int = 60) -> np.ndarray:
         for batch in batches:
             for i in range(batch.num_rows):
                 c = _Coded(row := batch.slice(i, 1).to_pylist()[0])
-                (t1, d1), (t2, d2) = _counts(row, "one"), _counts(row, "two")
-                k1, k2 = t1 - d1, (t2 - d2)[c.pairs()[1]]
+                k1, k2 = (_counts(row, n) - _counts(row, n, "deleted") for n in ("one", "two"))
+                k2 = k2[c.pairs()[1]]
                 u, w = k1[c.context], k1[c.seq]
                 with np.errstate(divide="ignore"):
                     ratio = np.log10(k2 / np.maximum(u, 1)) - np.log10(np.maximum(w, 1) / max(n_kept, 1))
@@ -229,18 +258,18 @@ def score(docs: DataFrame) -> DataFrame:
     repeated rows count and are scored each; other columns are ignored; an empty table gives an empty table.
     """
     coded = table(encode(docs), "coded")
-    tokens, words = coded.agg(F.sum(F.octet_length("seq") / 4), F.sum(F.octet_length("vocab") / 8)).first()
+    tokens, words = coded.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.octet_length("vocab") / 6)).first()
     one = totals(coded, 1, int(words or 0))
     two = totals(coded, 2, int(tokens or 0))
     v, n, deleted = (int(x or 0) for x in one.agg(F.sum("own_new"), F.sum("own_sum"), F.sum("own_deleted")).first())
-    joined = _joined(coded, one, two)
-    lam = weights(_joined(coded.where("kind = 1"), one, two), n - deleted)
+    joined = _joined(coded, one.drop("deleted"), two.drop("deleted"))
+    lam = weights(_joined(*(t.where("kind = 1") for t in (coded, one, two))), n - deleted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 c = _Coded(row := batch.slice(i, 1).to_pylist()[0])
-                (t1, _), (t2, _) = _counts(row, "one"), _counts(row, "two")
+                t1, t2 = _counts(row, "one"), _counts(row, "two")
                 base = np.log10((t1 + 0.1) / (n + 0.1 * (v + 1)))[c.seq]
                 u, w, k2 = t1[c.context], t1[c.seq], t2[c.pairs()[1]]
                 a = lam[_bucket(u)]
