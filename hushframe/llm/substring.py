@@ -59,56 +59,69 @@ def bands(sh: np.ndarray, of: np.ndarray) -> np.ndarray:
     return out
 
 
-def minimisers(v: np.ndarray, spacing: int) -> np.ndarray:
-    """Positions of the leftmost minimum of every ``spacing`` consecutive values; of all, where there are fewer."""
-    if len(v) <= spacing:
-        return np.array([int(v.argmin())]) if len(v) else np.empty(0, np.int64)
-    w = np.lib.stride_tricks.sliding_window_view(v, spacing)
-    return np.unique(w.argmin(axis=1) + np.arange(len(w)))
+def minimisers(v: np.ndarray, spacing: int, of: np.ndarray) -> np.ndarray:
+    """Positions of the leftmost minimum of every ``spacing`` consecutive values of one text (``of``, ascending); of all its values, where there are fewer."""
+    if not len(v):
+        return np.empty(0, np.int64)
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    sizes = np.diff(np.r_[starts, len(v)])
+    few = [s + int(v[s : s + n].argmin()) for s, n in zip(starts[sizes < spacing], sizes[sizes < spacing], strict=True)]
+    if len(v) < spacing:
+        return np.unique(few)
+    inside = np.flatnonzero(of[: len(v) - spacing + 1] == of[spacing - 1 :])
+    found = np.lib.stride_tricks.sliding_window_view(v, spacing).argmin(axis=1)[inside] + inside
+    return np.unique(np.r_[found, np.array(few, np.int64)])
 
 
 def units(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
     """``(doc_id, start, words, whole, uid, bands)``: lines with their bands, and virtual paragraphs without."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: dict[str, list] = {k: [] for k in ("doc", "start", "words", "whole", "uid")}
-        banded, rows = [], 0
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        """All texts of a batch at once: positions are those of one long sequence of words, kept inside lines and texts."""
+        seen: dict[bytes, int] = {}
+        ids, ends, of, first = [], [], [], []
         for i, text in enumerate(texts_of(batch.column("text"))):
-            h, starts = words_of(text)
-            sizes = np.diff(starts)
-            lines = np.flatnonzero(sizes >= min_words)
-            if len(lines):
-                sh = window_hashes(h, SHINGLE)
-                parts = [np.arange(starts[x], starts[x + 1] - SHINGLE + 1) for x in lines]
-                of = np.cumsum([0, *map(len, parts)])[:-1]
-                at = np.concatenate(parts)
-                banded.append((rows, bands(sh[at], of)))
-                order = mix(sh[at] + (at - np.repeat(starts[lines], [len(p) for p in parts])).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                put(cols, i, starts[lines], sizes[lines], True, mix(np.add.reduceat(order, of) + sizes[lines].astype(np.uint64)))
-                rows += len(lines)
-            if len(h) >= window:
-                at = minimisers(mix(window_hashes(h, 4)[: len(h) - window + 1]), spacing)
-                put(cols, i, at, np.full(len(at), window), False, window_hashes_at(h, at, window))
-                rows += len(at)
-        if not rows:
+            first.append(len(ids))
+            for line in text.lower().split(b"\n"):
+                ids += [seen.setdefault(w, len(seen)) for w in line.split()]
+                ends.append(len(ids))
+                of.append(i)
+        if not ids:
             return None
-        keys = np.zeros((rows, BANDS), np.int64)
-        flat = np.concatenate(cols["whole"])
-        for at, k in banded:
-            keys[at : at + len(k)] = k.view(np.int64)
-        size = np.where(flat, BANDS, 0)
-        offsets = np.r_[0, np.cumsum(size)].astype(np.int32)
-        ids = batch.column("doc_id").take(pa.array(np.concatenate(cols["doc"])))
+        h = np.array([xxhash.xxh64_intdigest(w) for w in seen], np.uint64)[np.array(ids, np.int64)]
+        first, of = np.array([*first, len(ids)]), np.array(of)
+        start = np.r_[0, ends[:-1]]
+        size = np.array(ends) - start
+        long = size >= max(min_words, SHINGLE)
+        start, size, of = start[long], size[long], of[long]
+        doc, at, keys, uid = [of], [start], np.empty((0, BANDS), np.uint64), [np.empty(0, np.uint64)]
+        if len(start):
+            n = size - SHINGLE + 1
+            head = np.cumsum(n) - n
+            step = np.arange(n.sum()) - np.repeat(head, n)
+            sh = window_hashes(h, SHINGLE)[np.repeat(start, n) + step]
+            keys = bands(sh, head)
+            order = mix(sh + step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            uid.append(mix(np.add.reduceat(order, head) + size.astype(np.uint64)))
+        room = np.maximum(np.diff(first) - window + 1, 0)
+        if room.any():
+            text_of = np.repeat(np.arange(len(room)), room)
+            place = np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room) + np.repeat(first[:-1], room)
+            anchors = place[minimisers(mix(window_hashes(h, 4)[place]), spacing, text_of)]
+            doc.append(np.searchsorted(first, anchors, side="right") - 1)
+            at.append(anchors)
+            uid.append(window_hashes_at(h, anchors, window))
+        doc, at, uid = np.concatenate(doc), np.concatenate(at), np.concatenate(uid)
+        lines = len(start)
+        whole = np.arange(len(doc)) < lines
+        words = np.where(whole, np.r_[size, np.zeros(len(doc) - lines, np.int64)], window)
+        offsets = np.r_[np.arange(lines + 1) * BANDS, np.full(len(doc) - lines, lines * BANDS)].astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(np.concatenate(cols["start"]).astype(np.int32)), pa.array(np.concatenate(cols["words"]).astype(np.int32)), pa.array(flat), pa.array(np.concatenate(cols["uid"]).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[flat].ravel()))],
+            [batch.column("doc_id").take(pa.array(doc)), pa.array((at - first[doc]).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(whole), pa.array(uid.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel()))],
             names=["doc_id", "start", "words", "whole", "uid", "bands"],
         )
 
-    def put(cols: dict, i: int, start: np.ndarray, words: np.ndarray, whole: bool, uid: np.ndarray) -> None:
-        for k, v in (("doc", np.full(len(start), i)), ("start", start), ("words", words), ("whole", np.full(len(start), whole)), ("uid", uid)):
-            cols[k].append(v)
-
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, start int, words int, whole boolean, uid long, bands array<long>", rows=64)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, start int, words int, whole boolean, uid long, bands array<long>", rows=256)
 
 
 def window_hashes_at(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
