@@ -112,8 +112,9 @@ def keep_first(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> Dat
     """
     found = near_duplicates(docs, bits, shingle).where("doc_id is not null")
     own = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
-    own = table(own.where("doc_id = component_id").select(F.col("doc_id").alias("_doc"), "n"), "kept")
-    key = docs["doc_id"].cast("long") == F.col("_doc")
-    once = docs.join(own.where("n = 1"), key, "left_semi")
-    more = docs.join(own.where("n > 1"), key, "left_semi").dropDuplicates(["doc_id"])
+    own = table(own.where("doc_id = component_id").select(F.col("doc_id").alias("_doc"), F.col("n").alias("_rows")), "kept")
+    # one plan at every size: the ids are merged with the documents, which are dealt once for both uses
+    both = docs.join(own.hint("merge"), docs["doc_id"].cast("long") == F.col("_doc"))
+    once = both.where("_rows = 1").drop("_doc", "_rows")
+    more = both.where("_rows > 1").drop("_doc", "_rows").dropDuplicates(["doc_id"])
     return once.unionByName(more).unionByName(docs.where(docs["doc_id"].cast("long").isNull()))

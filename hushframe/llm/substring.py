@@ -159,7 +159,7 @@ def paragraph_classes(docs: DataFrame, lines: DataFrame, similarity: float = SIM
     member = table(joined.select(F.col("node").alias("uid"), "root").unionByName(joined.select(F.col("root").alias("uid"), "root").distinct()), "joined")
     where = member.join(lines.select("uid", "first"), "uid").select("uid", "root", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), F.col("first.words").alias("words"))
     wanted = where.groupBy("doc_id").agg(F.collect_list(F.struct("uid", "root", "start", "words")).alias("wanted"))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted.hint("merge"), "doc_id")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         key, node, sets = [], [], []
@@ -229,7 +229,7 @@ def dedup_passages(docs: DataFrame, similarity: float = SIMILARITY, min_words: i
     """
     spans = removals(docs, similarity, min_words, window, spacing)
     per = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_set("keeper")).alias("_keepers"), F.collect_set(F.struct("start", "words")).alias("_spans"))
-    both = docs.join(table(per, "spans"), docs["doc_id"].cast("long") == F.col("_doc"), "left")
+    both = docs.join(table(per, "spans").hint("merge"), docs["doc_id"].cast("long") == F.col("_doc"), "left")
     names = both.columns
     at = names.index("text")
 
