@@ -41,6 +41,7 @@ class Matcher:
         self.words, self.stems, self.known = words, stems, known
         self.tries: dict[int, dict] = {1: {}, 2: {}}
         self.heads, self.tails, self.middles = set(), set(), set()
+        self.shorter: dict[int, set[str]] = {1: set(), 2: set()}
         for w in words:
             if (n := len(w)) < 5:
                 continue
@@ -50,6 +51,7 @@ class Matcher:
                 node = node.setdefault(c, {})
             node[""] = w
             # cut into limit + 1 parts, a term has one that stands unchanged in any word within the limit
+            self.shorter[limit] |= _shorter(w, limit)
             k = n // (limit + 1)
             for size in range(n - limit, n + limit + 1):
                 self.heads.add((w[:k], size))
@@ -57,6 +59,7 @@ class Matcher:
             if limit == 2:
                 self.middles.add(w[k : 2 * k])
         self.sizes = sorted({len(h) for h, _ in self.heads})
+        self.spans = sorted({len(m) for m in self.middles})
         self.ends = sorted({len(t) for t, _ in self.tails})
         self.most = max(map(len, words), default=0) + 2
         self.clean: set[str] = set()
@@ -92,10 +95,16 @@ class Matcher:
             return plain, self.words[plain], True
         for w in dict.fromkeys((word, plain)):
             n = len(w)
-            if (any((w[:k], n) in self.heads for k in self.sizes) or any((w[-k:], n) in self.tails for k in self.ends) or any(m in w for m in self.middles)) and (t := self.fuzzy(w)):
+            if (any((w[:k], n) in self.heads for k in self.sizes) or any((w[-k:], n) in self.tails for k in self.ends) or (n >= 8 and any(w[i : i + k] in self.middles for k in self.spans for i in range(n - k + 1)))) and self.may_be_near(w) and (t := self.fuzzy(w)):
                 return t, self.words[t], True
         return None
 
+    def may_be_near(self, word: str) -> bool:
+        """Whether word and term meet after deleting as many letters from each as the limit allows: all near words do."""
+        one, two = self.shorter[1], self.shorter[2]
+        cut = _shorter(word, 1)
+        return not one.isdisjoint(cut) or (len(word) >= 8 and bool(two) and not two.isdisjoint({v for w in cut for v in _shorter(w, 1)}))
+
     def fuzzy(self, word: str) -> str | None:
         """The nearest term within its limit: rows of edit counts down the trie, dead branches left."""
         n, best = len(word), (3, "")
@@ -118,6 +127,14 @@ class Matcher:
         return best[1] or None
 
 
+def _shorter(word: str, limit: int) -> set[str]:
+    """The word and what is left of it after deleting up to ``limit`` letters."""
+    out = {word}
+    for _ in range(limit):
+        out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
+    return out
+
+
 def context(text: str, matcher: Matcher) -> list[float] | None:
     """The feature vector of a text; None if no term occurs in it."""
     low = text.lower()
