@@ -9,6 +9,8 @@ least of the band, the joined sets are searched for exact Jaccard similarity of
 A passage may also stand inside a longer line.  For that, the minimiser of every 20 consecutive positions
 opens a virtual paragraph of 32 words (any passage of 51 words or more holds one, whatever surrounds it).
 Those have J = 1 only, so their single band is the hash of the whole, and the first document keeps them.
+A removed window is a seed: it is stretched word by word, left and right, as far as document and keeper agree;
+out of its line only where they agree on 51 words or more.
 A line of which four fifths are covered by removed spans goes entirely.
 """
 
@@ -17,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.llm.blocks import forest, linked
@@ -198,7 +200,57 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = M
     windows = each.where("not whole").select("whole", "uid", F.col("first").alias("keep"))
     spans = all_units.drop("bands").join(lines.unionByName(windows), ["whole", "uid"])
     other = F.when(F.col("whole"), (F.col("doc_id") != F.col("keep.doc_id")) | (F.col("start") != F.col("keep.start"))).otherwise(F.col("doc_id") != F.col("keep.doc_id"))
-    return spans.where(other).select("doc_id", F.col("keep.doc_id").alias("keeper"), "start", "words")
+    hits = table(spans.where(other).select("whole", "doc_id", F.col("keep.doc_id").alias("keeper"), F.col("keep.start").alias("source"), "start", "words"), "hits")
+    beside = stretched(docs, hits.where("not whole").select("doc_id", "keeper", "source", "start"), window, spacing)
+    return hits.select("doc_id", "keeper", "start", "words").unionByName(beside)
+
+
+def stretched(docs: DataFrame, seeds: DataFrame, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
+    """``seeds(doc_id, keeper, source, start)``: equal windows -> ``(doc_id, keeper, start, words)``: the equal words beside them.
+
+    Less than ``spacing`` words on each side are compared: a longer stretch holds an anchor that both documents have,
+    so another seed.  Where such a seed of the same keeper adjoins, its own stretch goes on from there.  A passage of less
+    than ``window + spacing - 1`` words is not stretched beyond the line: short lines beside a repeated one stay.
+    """
+    row = Window.partitionBy("doc_id", "keeper", F.col("start") - F.col("source")).orderBy("start")
+    edges = seeds.select("*", F.coalesce(F.lag("start").over(row) + window < F.col("start"), F.lit(True)).alias("left"), F.coalesce(F.lead("start").over(row) > F.col("start") + window, F.lit(True)).alias("right"))
+    edges = table(edges.where("left or right"), "edges")
+    places = edges.select("doc_id", "start").unionByName(edges.select(F.col("keeper").alias("doc_id"), F.col("source").alias("start"))).distinct()
+    wanted = places.groupBy("doc_id").agg(F.collect_list("start").alias("wanted"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted.hint("merge"), "doc_id")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        doc, at, before, after, room = [], [], [], [], []
+        for i, text, wanted in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
+            h, lines = words_of(text)
+            h = h.view(np.int64)
+            for s in wanted:
+                doc.append(i)
+                at.append(s)
+                before.append(h[max(s - spacing + 1, 0) : s][::-1])
+                after.append(h[s + window : s + window + spacing - 1])
+                first, last = np.minimum(np.searchsorted(lines, [s, s + window - 1], side="right"), len(lines) - 1)
+                room.append((s - int(lines[first - 1]), int(lines[last]) - s - window))
+        words = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(before, words), pa.array(after, words), pa.array([x for x, _ in room], pa.int32()), pa.array([x for _, x in room], pa.int32())], names=["doc_id", "start", "before", "after", "line_before", "line_after"]) if doc else None
+
+    around = table(map_batches(texts, run, "doc_id long, start int, before array<long>, after array<long>, line_before int, line_after int", rows=64).dropDuplicates(["doc_id", "start"]), "around")
+    kept = around.select(F.col("doc_id").alias("keeper"), F.col("start").alias("source"), F.col("before").alias("kept_before"), F.col("after").alias("kept_after"))
+    both = edges.join(around, ["doc_id", "start"]).join(kept, ["keeper", "source"])
+
+    def agreed(a: str, b: str):
+        same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+        first = F.array_position(same, False)
+        return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
+
+    agree = both.select("doc_id", "keeper", "source", "start", "line_before", "line_after", F.when(F.col("left"), agreed("before", "kept_before")).alias("l"), F.when(F.col("right"), agreed("after", "kept_after")).alias("r"))
+    begin = F.last(F.col("start") - F.col("l"), ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0))
+    end = F.first(F.col("start") + window + F.col("r"), ignorenulls=True).over(row.rowsBetween(0, Window.unboundedFollowing))
+    long = F.col("end") - F.col("begin") >= window + spacing - 1
+    sized = agree.withColumn("begin", begin).withColumn("end", end)
+    sized = sized.select("doc_id", "keeper", "start", *(F.when(F.col(n).isNotNull() & ~long, F.least(n, line)).otherwise(F.col(n)).alias(n) for n, line in (("l", "line_before"), ("r", "line_after"))))
+    sides = F.array(F.struct((F.col("start") - F.col("l")).alias("start"), F.col("l").alias("words")), F.struct((F.col("start") + window).alias("start"), F.col("r").alias("words")))
+    return sized.select("doc_id", "keeper", F.inline(sides)).where("words > 0")
 
 
 def cut(text: str, spans: list[tuple[int, int]], cover: float = COVER) -> tuple[str, int]:

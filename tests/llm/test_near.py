@@ -121,6 +121,22 @@ def test_passages_are_cut_from_all_but_the_first(spark):
     assert got[20]["text"] == got[21]["text"] == "" and got[20]["_keepers"] == [2]
 
 
+@pytest.mark.parametrize("n", [51, 60, 100])
+def test_passages_inside_lines_go_whole(spark, n):
+    rng = np.random.default_rng(n)
+    shared = words(rng, n)
+    own = {i: (words(rng, 40), words(rng, 40)) for i in range(12)}
+    ends = {10: ([], own[10][1]), 11: (own[11][0], [])}
+    rows = [(i, " ".join([*a, *shared, *b])) for i, (a, b) in (own | ends).items()]
+    rows.append((12, " ".join(["other", *(w.upper() for w in shared), *own[0][1][:5], *words(rng, 90)])))
+    got = {r["doc_id"]: r for r in substring.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["_words_cut"] == 0 and all(got[i]["_words_cut"] == n and got[i]["_keepers"] == [0] for i in range(1, 10))
+    assert all(got[i]["text"].split() == [*own[i][0], *own[i][1]] for i in range(1, 10))
+    assert got[10]["text"].split() == own[10][1] or got[10]["text"] == ""
+    assert got[11]["text"].split() == own[11][0] or got[11]["text"] == ""
+    assert got[12]["_words_cut"] == n + 5 and got[12]["text"].split()[0] == "other" and not {*own[0][1][:5]} & {*got[12]["text"].split()}
+
+
 def test_paragraph_classes_match_brute_force(spark, docs):
     """All pairs of long lines by exact Jaccard similarity."""
     rows = docs.select("doc_id", "text").collect()
