@@ -40,7 +40,6 @@ class Matcher:
     def __init__(self, words: dict[str, float], stems: dict[str, float], known: frozenset[str] = frozenset()) -> None:
         self.words, self.stems, self.known = words, stems, known
         self.tries: dict[int, dict] = {1: {}, 2: {}}
-        self.heads, self.tails, self.middles = set(), set(), set()
         self.shorter: dict[int, set[str]] = {1: set(), 2: set()}
         for w in words:
             if (n := len(w)) < 5:
@@ -50,17 +49,7 @@ class Matcher:
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = w
-            # cut into limit + 1 parts, a term has one that stands unchanged in any word within the limit
             self.shorter[limit] |= _shorter(w, limit)
-            k = n // (limit + 1)
-            for size in range(n - limit, n + limit + 1):
-                self.heads.add((w[:k], size))
-                self.tails.add((w[k * limit :], size))
-            if limit == 2:
-                self.middles.add(w[k : 2 * k])
-        self.sizes = sorted({len(h) for h, _ in self.heads})
-        self.spans = sorted({len(m) for m in self.middles})
-        self.ends = sorted({len(t) for t, _ in self.tails})
         self.most = max(map(len, words), default=0) + 2
         self.clean: set[str] = set()
         self.hits: dict[str, tuple[str, float, bool]] = {}
@@ -94,8 +83,7 @@ class Matcher:
         if plain != word and plain in self.words:
             return plain, self.words[plain], True
         for w in dict.fromkeys((word, plain)):
-            n = len(w)
-            if (any((w[:k], n) in self.heads for k in self.sizes) or any((w[-k:], n) in self.tails for k in self.ends) or (n >= 8 and any(w[i : i + k] in self.middles for k in self.spans for i in range(n - k + 1)))) and self.may_be_near(w) and (t := self.fuzzy(w)):
+            if self.may_be_near(w) and (t := self.fuzzy(w)):
                 return t, self.words[t], True
         return None
 

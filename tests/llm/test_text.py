@@ -160,6 +160,21 @@ def test_automaton_finds_what_edit_distance_finds(word, changes):
     assert (m.find(w) is not None) == (want and len(w) >= 4)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.sampled_from(["idiot", "stupid", "scumbag", "worthless", "disgusting", "incompetent"]), st.integers(0, 9), st.integers(0, 12), st.sampled_from(["", "x", "swap"]))
+def test_automaton_finds_swapped_neighbours(word, at, then, how):
+    terms = ["idiot", "stupid", "scumbag", "worthless", "disgusting", "incompetent"]
+    at = min(at, len(word) - 2)
+    w = word[:at] + word[at + 1] + word[at] + word[at + 2 :]
+    if how == "x":
+        w = w[:then] + "x" + w[then:]
+    elif how:
+        then = min(then, len(w) - 2)
+        w = w[:then] + w[then + 1] + w[then] + w[then + 2 :]
+    m = toxicity.Matcher({t: 1.0 for t in terms}, {})
+    assert (m.find(w) is not None) == any(edits(w, t) <= (1 if len(t) < 10 else 2) for t in terms)
+
+
 def test_context_tells_quotation_from_abuse():
     m = toxicity.Matcher({"idiot": 5.0, "stupid": 5.0}, {})
     abuse, told = toxicity.context("you are an idi0t and a stupiid one", m), toxicity.context('he said "idiot" is a stupid word', m)
