@@ -2,7 +2,7 @@
 
 The lexicon (at most ``TERMS`` words and stems with their log-odds) is learned from labelled rows: a term must be far
 more common in rows labelled toxic.  A word matches a term exactly, by a stem, after undoing look-alike digits, or within one
-edit (two from ten letters on; swapped neighbours count as one): the word's Levenshtein automaton walks the
+edit (two from ten letters on; swapped neighbours count as one; terms of one or two letters only exactly): the word's Levenshtein automaton walks the
 trie, one row of edit counts a node, and leaves a branch as soon as no count is within the limit.  A fuzzy match
 that rows without the label also use is a word of its own and is not taken.
 
@@ -42,7 +42,7 @@ class Matcher:
         self.tries: dict[int, dict] = {1: {}, 2: {}}
         self.shorter: dict[int, set[str]] = {1: set(), 2: set()}
         for w in words:
-            if (n := len(w)) < 5:
+            if (n := len(w)) < 3:
                 continue
             limit = 1 if n < 10 else 2
             node = self.tries[limit]
@@ -77,7 +77,7 @@ class Matcher:
         for n in STEMS:
             if (s := word[:n]) in self.stems and len(word) >= n:
                 return s, self.stems[s], False
-        if word in self.known or not 4 <= len(word) <= self.most:
+        if word in self.known or not 2 <= len(word) <= self.most:
             return None
         plain = word.translate(_LOOKALIKE)
         if plain != word and plain in self.words:

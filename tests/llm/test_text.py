@@ -175,6 +175,12 @@ def test_automaton_finds_swapped_neighbours(word, at, then, how):
     assert (m.find(w) is not None) == any(edits(w, t) <= (1 if len(t) < 10 else 2) for t in terms)
 
 
+def test_short_terms_are_found_within_one_edit():
+    m = toxicity.Matcher({"scum": 5.0, "fag": 4.0, "u": 3.0}, {}, frozenset({"fog"}))
+    assert all(m.find(w) == ("scum", 5.0, True) for w in ("skum", "scumm", "scm", "csum")) and m.find("fagg") == ("fag", 4.0, True)
+    assert m.find("u") == ("u", 3.0, False) and all(m.find(w) is None for w in ("fog", "x", "ux", "skuum"))
+
+
 def test_context_tells_quotation_from_abuse():
     m = toxicity.Matcher({"idiot": 5.0, "stupid": 5.0}, {})
     abuse, told = toxicity.context("you are an idi0t and a stupiid one", m), toxicity.context('he said "idiot" is a stupid word', m)
