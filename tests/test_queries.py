@@ -32,6 +32,12 @@ def test_query(spark, sf, duck, name):
         assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
+def test_redact_result_has_every_customer(spark, sf):
+    got = core.QUERIES["redact_result"](spark, sf).toPandas()
+    ids = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").toPandas()["c_custkey"]
+    assert sorted(got["customer_id"].astype(str)) == sorted(ids.astype(str)) and set(got["customer_name"]) == {"[REDACTED]"}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
