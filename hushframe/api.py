@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from hushframe.errors import ModelError
 from hushframe.operators.guarded import safe_python, safe_sql
 from hushframe.operators.privacy import classify_columns, privacy_report, protect_columns, risk_score, scan_risk_level
-from hushframe.operators.profile import profile
+from hushframe.operators.profile import profile, shared
 from hushframe.operators.quality import validate
 from hushframe.operators.receipt import Receipt, new_id, now
 from hushframe.operators.session import BUDGET, SafeSession
@@ -75,6 +75,7 @@ def as_model(model: Any) -> Callable[[str], str]:
     raise ModelError("the model must be callable or have a generate method")
 
 
+@shared
 def scan(data: Any, profile_name: str = "general", policy: Policy | None = None, deep: bool = True) -> ScanReport:
     """Privacy risk, sensitive columns, quality findings and readiness; one shared profile."""
     df, policy = require_frame(data), resolve(profile_name, policy)
@@ -95,6 +96,7 @@ def scan(data: Any, profile_name: str = "general", policy: Policy | None = None,
     )
 
 
+@shared
 def protect(data: Any, question: str | None = None, profile_name: str = "general", policy: Policy | None = None, return_report: bool = False):
     """The frame without the sensitive columns that the question does not need; lazy, pruned at the scan."""
     df, policy = require_frame(data), resolve(profile_name, policy)
@@ -103,8 +105,9 @@ def protect(data: Any, question: str | None = None, profile_name: str = "general
     return (view, ProtectReport(keep, [c for c in df.columns if c not in keep], list(plan.retained_pii_columns))) if return_report else view
 
 
+@shared
 def ask(data: Any, question: str, model: Any = None, profile_name: str = "general", policy: Policy | None = None, mode: str = "auto") -> Result:
-    """Answer a question under the policy.  ``auto``: the plan engine, then guarded SQL, then (if allowed) guarded Python."""
+    """Answer a question under the policy.  ``auto``: the plan engine; what it blocks stays blocked, unless the policy allows other engines."""
     if not isinstance(question, str) or not question.strip():
         raise ValueError("the question is empty")
     if mode not in MODES:
@@ -116,7 +119,7 @@ def ask(data: Any, question: str, model: Any = None, profile_name: str = "genera
 
     def receipt(low: dict, engine: str, kept: list[str], python_ran: bool, blocked: list[str], warnings: list[str]) -> Receipt:
         return Receipt(
-            low.get("audit_id") or new_id(), low.get("timestamp_utc") or now(), policy.profile, engine, mode, profile(df, policy.pii_scan_rows).rows, len(df.columns), kept,
+            low.get("request", {}).get("id") or new_id(), low.get("request", {}).get("at") or now(), policy.profile, engine, mode, profile(df, policy.pii_scan_rows).rows, len(df.columns), kept,
             [c for c in df.columns if c not in kept], [], pii, sensitive, policy.min_group_size, policy.max_result_rows, python_ran, python_ran, blocked, warnings,
         )
 
@@ -131,11 +134,14 @@ def ask(data: Any, question: str, model: Any = None, profile_name: str = "genera
     if not keep:
         return Result(None, receipt({}, "none", [], False, [], []), True, "no column may be used for this question", "none")
     view = df.select(*map(quoted, keep))
-    engines = {"plan": [("plan", safe_query)], "sql": [("sql", safe_sql)], "python": [("python", safe_python)]}.get(mode) or [("plan", safe_query), ("sql", safe_sql), *([("python", safe_python)] if policy.allow_python_fallback else [])]
-    for name, engine in engines:
-        got = engine(view, question, fn, policy)
-        if not got.blocked:
-            break
+    alone = {"plan": safe_query, "sql": safe_sql, "python": safe_python}
+    name = "plan" if mode == "auto" else mode
+    got = alone[name](view, question, fn, policy)
+    if mode == "auto" and got.blocked and policy.allow_python_fallback:
+        # a plan that the policy refused stays refused for SQL; without any valid plan, SQL is tried before Python
+        for name in ("sql", "python") if got.plan is None else ("python",):
+            if not (got := alone[name](view, question, fn, policy)).blocked:
+                break
     warnings = []
     if policy.min_group_size and isinstance(got.answer, pd.DataFrame) and got.answer.empty:
         warnings.append(f"all groups had fewer than {policy.min_group_size} rows and were dropped")

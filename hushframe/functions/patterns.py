@@ -6,10 +6,8 @@ import re
 from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Patterns of personal data, the specific before the general.
 PII = {
@@ -41,8 +39,8 @@ def looks_date(c: Column) -> Column:
 
 
 def normalize_category(c: Column) -> Column:
-    """Trimmed, lower-case, without spaces, dots, dashes and underscores."""
-    return F.regexp_replace(F.lower(F.regexp_replace(c, _UNICODE + r"^\s+|\s+$", "")), _UNICODE + r"[\s._\-]+", "")
+    """Lower-case, without spaces, dots, dashes and underscores (so there is nothing left to trim)."""
+    return F.regexp_replace(F.lower(c), _UNICODE + r"[\s._\-]+", "")
 
 
 def has_pii(c: Column, label: str) -> Column:
@@ -60,23 +58,42 @@ def luhn_ok(c: Column) -> Column:
     return F.coalesce(F.length(digits).between(13, 19) & F.call_function("luhn_check", digits), F.lit(False))
 
 
+#: A character without which a pattern cannot match; cells that lack it are spared the pattern.
+_NEEDS = {"EMAIL": "@", "SSN": "-", "IP": "."}
+
+
+def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once, however often ``f`` uses it."""
+    return F.transform(F.array(c), f)[0]
+
+
+def _replaced(label: str) -> Callable[[Column], Column]:
+    def step(x: Column) -> Column:
+        possible = x.contains(_NEEDS[label]) if label in _NEEDS else x.rlike(r"\d[ -]?\d[ -]?\d")
+        return F.when(possible, F.regexp_replace(x, _UNICODE + PII[label], f"[{label}]")).otherwise(x)
+
+    return step
+
+
 def redact_before_phone(c: Column) -> Column:
     """Cells with emails, cards, social security numbers and addresses of computers replaced, in this order."""
     for label in ("EMAIL", "CARD", "SSN", "IP"):
-        c = F.regexp_replace(c, _UNICODE + PII[label], f"[{label}]")
+        c = _bound(c, _replaced(label))
     return c
 
 
-@F.pandas_udf(T.StringType())
-def _redact_phones(cells: pd.Series) -> pd.Series:
-    # each match is judged by itself, which regexp_replace cannot
-    return cells.map(lambda s: s if s is None else phones(s))
+def _redact_phones(c: Column) -> Column:
+    """Each match is judged by itself: the cell is cut at the matches and put together again, the phones as labels."""
+    pattern = _UNICODE + PII["PHONE"]
+    digits = lambda m: F.length(F.regexp_replace(m, _UNICODE + r"\D", ""))
+    judged = lambda m: F.when((digits(m) >= 10) & ~matches(m, DATE_IN_TEXT) & ~matches(m, TIME_IN_TEXT), F.lit("[PHONE]")).otherwise(m)
+    between, found = F.split(c, pattern), F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), judged)
+    return F.concat_ws("", F.flatten(F.zip_with(between, found, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
 
 
 def redact(c: Column) -> Column:
-    """All five patterns replaced by their labels.  Python is used only on cells where a phone may be."""
-    done = redact_before_phone(c)
-    return F.when(matches(done, PII["PHONE"]), _redact_phones(done)).otherwise(done)
+    """All five patterns replaced by their labels, without Python."""
+    return _bound(redact_before_phone(c), lambda x: F.when(matches(x, PII["PHONE"]), _redact_phones(x)).otherwise(x))
 
 
 _compiled = {k: re.compile(v) for k, v in PII.items()}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from hushframe.operators.guarded import GuardedResult, safe_python, safe_sql
 from hushframe.operators.privacy import all_pii
+from hushframe.operators.profile import shared
 from hushframe.operators.quality import validate
 from hushframe.operators.report import html_audit
 from hushframe.policy import Policy
@@ -32,9 +33,10 @@ class Agent:
 
     def ask(self, question: str) -> GuardedResult:
         got = {"sql": safe_sql, "python": safe_python}[self.language](self.df, question, self.model, self.policy)
-        self.history.append(got.receipt | {"blocked": got.blocked, "reason": got.reason})
+        self.history.append(got.receipt)
         return got
 
+    @shared
     def facts(self) -> dict:
         """What the audit says about the data: findings and personal data, no values."""
         return {"issues": [i.to_dict() for i in validate(self.df)], "pii": all_pii(self.df)}

@@ -1,15 +1,18 @@
 """Guarded engines for model-written code.
 
-SQL is the engine of choice: the text is parsed by Catalyst, every node of the tree must be on an allow-list, the only
-relation is the safe view, and the answer must be an aggregate that passes the small-group rule.  Python is opt-in and
-last: the code is screened as a syntax tree and run in a process of its own over a bounded copy, with a time limit.
-Screening is a barrier, not a sandbox.
+SQL is the engine of choice.  The text is parsed by Catalyst; every node, expression and function of the tree must be on an
+allow-list; the only relation is the safe view, put into the tree as a plan, never by name.  The answer must be one aggregation.
+Its groups are counted by a column that the engine adds to the analysed aggregate, over the rows that reach it, and small
+groups are dropped right above it: what the query itself calls a count is never trusted.  Aggregates take plain columns, since
+a condition inside one could single out a row that the group's size hides.
+
+Python is opt-in and last: the code is screened as a syntax tree and run in a process of its own over a bounded copy, with a
+time limit.  Screening is a barrier, not a sandbox.
 """
 
 from __future__ import annotations
 
 import ast
-import json
 import os
 import pickle
 import re
@@ -18,27 +21,35 @@ import subprocess
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from py4j.java_gateway import JavaObject
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.errors import ModelError, SafetyError
-from hushframe.operators.privacy import PrivacyPlan, check_result_rows, count_column, create_privacy_plan, k_anonymize, make_safe_view, redact_value
+from hushframe.operators.privacy import PrivacyPlan, check_result_rows, create_privacy_plan, make_safe_view, redact_value
 from hushframe.operators.receipt import create_receipt
 from hushframe.operators.summary import build_safe_prompt
 from hushframe.policy import Policy
 
-NODES = frozenset("Project Filter Aggregate Sort GlobalLimit LocalLimit SubqueryAlias UnresolvedRelation UnresolvedHaving UnresolvedSubqueryColumnAliases UnresolvedWith Distinct UnresolvedOrdinal".split())
 VIEW = "data"
-#: Functions that reach outside the data, run code or return raw rows as a list.
-REFUSED_FUNCTIONS = frozenset(
-    "java_method reflect try_reflect input_file_name input_file_block_start input_file_block_length current_user session_user user current_database current_catalog version "
-    "collect_list collect_set array_agg listagg string_agg first first_value last last_value any_value max_by min_by mode histogram_numeric raise_error".split()
+#: What a query may be made of: plan nodes, expressions, aggregate functions and scalar functions.
+NODES = frozenset("Project Filter Aggregate Sort GlobalLimit LocalLimit SubqueryAlias UnresolvedRelation UnresolvedHaving".split())
+EXPRESSIONS = frozenset(
+    "UnresolvedAttribute UnresolvedAlias UnresolvedFunction UnresolvedOrdinal UnresolvedStar Alias Literal SortOrder Cast CaseWhen And Or Not EqualTo EqualNullSafe GreaterThan "
+    "GreaterThanOrEqual LessThan LessThanOrEqual In IsNull IsNotNull Like RLike Between Add Subtract Multiply Divide UnaryMinus Remainder IntegralDivide".split()
 )
+AGGREGATES = frozenset("count sum avg mean min max median std stddev stddev_samp variance var_samp".split())
+FUNCTIONS = frozenset(
+    "abs round floor ceil ceiling greatest least coalesce nullif if year quarter month day dayofmonth weekofyear hour date_trunc trunc to_date date lower upper trim length "
+    "substring substr left right concat between like rlike".split()
+)
+PLAIN = frozenset("UnresolvedAttribute UnresolvedStar Literal".split())
 RETRIES, PYTHON_ROWS, TIMEOUT = 3, 200_000, 10
 
 
@@ -62,73 +73,133 @@ def extract_code(reply: str) -> str:
     return code
 
 
-def check_sql(spark, sql: str) -> str:
-    """The statement, if its parsed tree holds nothing but allowed nodes over the view; SafetyError otherwise."""
+def wrap(call: Callable[[str], Any], clean: Callable[[str], str] = extract_code) -> Callable[[str], str]:
+    """Any function of text to text as a model: its failures become ModelError, its replies are cleaned."""
+    if not callable(call):
+        raise TypeError("wrap needs a function of a prompt")
+
+    def model(prompt: str) -> str:
+        try:
+            reply = call(prompt)
+        except Exception as e:
+            raise ModelError(f"the model could not be called ({type(e).__name__}: {e})") from e
+        if reply is None:
+            raise ModelError("the model returned nothing")
+        return clean(str(reply))
+
+    return model
+
+
+def check_sql(spark: SparkSession, sql: str) -> str:
+    """The statement, if its parsed tree holds nothing but what is allowed; SafetyError otherwise."""
     text = sql.strip().rstrip(";")
+    _parsed(spark, text)
+    return text
+
+
+def _parsed(spark: SparkSession, text: str) -> JavaObject:
     try:
         tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as e:
         raise SafetyError(f"the query cannot be parsed: {str(e).splitlines()[0]}") from None
-    nodes = json.loads("[" + ",".join(_nodes(tree)) + "]")
-    names = {n["name"] for n in nodes}
-    if refused := sorted(names - NODES):
-        raise SafetyError(f"the query uses {', '.join(refused)}, which is not allowed")
-    relations = {n["relation"] for n in nodes if n["relation"]}
-    ctes = set(re.findall(r"(?:with|,)\s+(\w+)\s+as\s*\(", text, re.I))
-    if bad := sorted(r for r in relations if r.lower() != VIEW and r not in ctes):
-        raise SafetyError(f"the query reads {', '.join(bad)}; only '{VIEW}' may be read")
-    if "Aggregate" not in names:
-        raise SafetyError("the query returns rows; it must aggregate")
-    functions = {f.lower() for f in re.findall(r"([A-Za-z_][A-Za-z0-9_]*)\s*\(", text)}
-    if bad := sorted(functions & REFUSED_FUNCTIONS):
-        raise SafetyError(f"function {', '.join(bad)} is not allowed")
-    if re.search(r"\b(exists|in)\s*\(\s*select\b|\(\s*select\b(?!.*\bfrom\s+data\b)", text, re.I | re.S):
-        raise SafetyError("subqueries in expressions are not allowed")
-    return text
-
-
-def _nodes(tree) -> list[str]:
-    out, stack = [], [tree]
+    for node in _tree(tree, lambda n: _list(n.children())):
+        name = node.nodeName().strip("'")
+        if name not in NODES:
+            raise SafetyError(f"the query uses {name}, which is not allowed")
+        if name == "UnresolvedRelation" and (source := ".".join(_list(node.multipartIdentifier()))).lower() != VIEW:
+            raise SafetyError(f"the query reads {source}; only '{VIEW}' may be read")
+        for top in _list(node.expressions()):
+            _check_expression(top)
+    return tree
+
+
+def _check_expression(top: JavaObject) -> None:
+    for e in _tree(top, lambda x: _list(x.children())):
+        kind = e.getClass().getSimpleName().rstrip("$")
+        if kind not in EXPRESSIONS:
+            raise SafetyError(f"expression {kind} is not allowed")
+        if kind != "UnresolvedFunction":
+            continue
+        name = ".".join(_list(e.nameParts())).lower()
+        if name not in AGGREGATES | FUNCTIONS:
+            raise SafetyError(f"function {name} is not allowed")
+        if name in AGGREGATES:
+            inner = {x.getClass().getSimpleName() for x in _list(e.arguments())}
+            if not e.filter().isEmpty() or inner - PLAIN:
+                raise SafetyError(f"{name} takes a plain column; put conditions into WHERE")
+
+
+def _tree(top: JavaObject, below: Callable[[JavaObject], list]) -> Iterator[JavaObject]:
+    stack = [top]
     while stack:
         node = stack.pop()
-        name = node.nodeName().strip("'")
-        relation = ".".join(_seq(node.multipartIdentifier())) if name == "UnresolvedRelation" else ""
-        out.append(json.dumps({"name": name, "relation": relation}))
-        # children are plans; inner children are those of WITH and of subqueries
-        stack += [*_seq(node.children()), *_seq(node.innerChildren())]
-    return out
+        yield node
+        stack += below(node)
 
 
-def _seq(s) -> list:
+def _list(s: JavaObject) -> list:
     return [s.apply(i) for i in range(s.size())]
 
 
-def run_sql(view: DataFrame, sql: str, policy: Policy) -> pd.DataFrame:
-    """The checked query's answer over the view; groups under the policy's size are dropped by its count column."""
-    spark = view.sparkSession
-    text = check_sql(spark, sql)
-    name = f"data_{uuid.uuid4().hex}"
-    view.createOrReplaceTempView(name)
-    try:
-        out = spark.sql(re.sub(rf"(?i)\b(from|join)\s+`?{VIEW}`?\b", rf"\1 {name} AS {VIEW}", text))
-        if policy.min_group_size:
-            out = guarded_k(out, view, policy.min_group_size)
-        got = out.limit(policy.max_result_rows + 1).toPandas()
-    finally:
-        spark.catalog.dropTempView(name)
-    check_result_rows(len(got), policy)
-    return redact_value(got) if policy.redact_result_pii else got
+class _Planner:
+    """Catalyst plans of one view: the checked query over it, with small groups dropped inside the plan."""
+
+    def __init__(self, view: DataFrame) -> None:
+        self.spark, self.view, jvm = view.sparkSession, view, view.sparkSession._jvm
+        one = lambda package, name: getattr(getattr(package, name + "$"), "MODULE$")
+        self._dataset = one(jvm.org.apache.spark.sql.classic, "Dataset")
+        self._named = one(jvm.org.apache.spark.sql.catalyst.plans.logical, "SubqueryAlias").apply
+        self._seq, self._mark = jvm.PythonUtils.toSeq, f"view_{uuid.uuid4().hex}"
+
+    def _frame(self, plan: JavaObject) -> DataFrame:
+        return DataFrame(self._dataset.ofRows(self.spark._jsparkSession, plan), self.spark)
+
+    def _placed(self, node: JavaObject) -> JavaObject:
+        """The tree with the view's own plan in place of its name."""
+        if node.nodeName().strip("'") == "UnresolvedRelation":
+            return self._named(VIEW, self._named(self._mark, self.view._jdf.queryExecution().analyzed()))
+        kids = [self._placed(k) for k in _list(node.children())]
+        return node.withNewChildren(self._seq(kids)) if kids else node
+
+    def run(self, text: str, k: int | None) -> DataFrame:
+        """The answer as a lazy frame.  Exactly one aggregation may stand between the answer and the view."""
+        try:
+            plan = self._frame(self._placed(_parsed(self.spark, text)))._jdf.queryExecution().analyzed()
+        except AnalysisException as e:
+            raise SafetyError(f"the query does not fit the data: {str(e).splitlines()[0]}") from None
+        above, node = [], plan
+        while not (node.nodeName() == "SubqueryAlias" and node.identifier().name() == self._mark):
+            (child,) = _list(node.children())
+            above.append(node)
+            node = child
+        at = [i for i, n in enumerate(above) if n.nodeName() == "Aggregate"]
+        if len(at) != 1:
+            raise SafetyError("the query returns rows; it must aggregate" if not at else "aggregates of aggregates are not allowed")
+        if not k:
+            return self._frame(plan)
+        hidden = f"rows_{uuid.uuid4().hex}"
+        group = above[at[0]]
+        rows = self.view.agg(F.count(F.lit(1)).alias(hidden))._jdf.queryExecution().analyzed().aggregateExpressions().apply(0)
+        counted = group.copy(group.groupingExpressions(), self._seq([*_list(group.aggregateExpressions()), rows]), group.child(), group.hint())
+        whole = self._frame(counted).where(F.col(hidden) >= k)._jdf.queryExecution().analyzed()
+        for parent in reversed(above[: at[0]]):
+            whole = parent.withNewChildren(self._seq([whole]))
+        return self._frame(whole).drop(hidden)
+
+
+def guarded_sql(view: DataFrame, sql: str, k: int | None = None) -> DataFrame:
+    """The checked query over the view as a lazy frame; groups of fewer than ``k`` rows are not in it."""
+    return _Planner(view).run(check_sql(view.sparkSession, sql), k)
 
 
-def guarded_k(out: DataFrame, view: DataFrame, k: int) -> DataFrame:
-    """Grouped answers need a count column; a single aggregate row needs a view of ``k`` rows."""
-    if count := count_column(out):
-        return k_anonymize(out, k, count)
-    if len(out.limit(2).collect()) > 1:
-        raise SafetyError("a grouped answer needs count(*) AS count, so that small groups can be dropped")
-    if view.limit(k).count() < k:
+def run_sql(view: DataFrame, sql: str, policy: Policy) -> pd.DataFrame:
+    """The answer of a guarded query.  A single total over too few rows is refused; small groups are left out."""
+    k = policy.min_group_size
+    got = guarded_sql(view, sql, k).limit(policy.max_result_rows + 1).toPandas()
+    check_result_rows(len(got), policy)
+    if k and got.empty and view.limit(k).count() < k:
         raise SafetyError(f"fewer than {k} rows; the answer could point at individuals")
-    return out
+    return redact_value(got) if policy.redact_result_pii else got
 
 
 def _loop(df: DataFrame, question: str, model: Callable[[str], str], policy: Policy, language: str, run: Callable[[DataFrame, str], Any]) -> GuardedResult:
@@ -144,13 +215,13 @@ def _loop(df: DataFrame, question: str, model: Callable[[str], str], policy: Pol
             reason = str(e)
         except Exception as e:  # noqa: BLE001  fail closed
             reason = f"the code could not be run ({type(e).__name__})"
-    receipt = create_receipt(question, language.split()[0].lower(), privacy, policy, answer, python_ran=language.startswith("Python") and reason is None)
+    receipt = create_receipt(question, language.split()[0].lower(), privacy, policy, answer, refused=reason)
     return GuardedResult(answer, code, reason is not None, reason, receipt, tries)
 
 
 def safe_sql(df: DataFrame, question: str, model: Callable[[str], str], policy: Policy | None = None) -> GuardedResult:
     policy = policy or Policy.regulated()
-    return _loop(df, question, model, policy, f"SQL (one SELECT that aggregates the table {VIEW}, with count(*) AS count)", lambda view, sql: run_sql(view, sql, policy))
+    return _loop(df, question, model, policy, f"SQL (one SELECT that aggregates plain columns of the table {VIEW})", lambda view, sql: run_sql(view, sql, policy))
 
 
 #: What screened Python may not use.
@@ -259,18 +330,39 @@ def check_answer(answer: Any, frame: pd.DataFrame, policy: Policy) -> Any:
             raise SafetyError("the answer is not much smaller than the data")
         if policy.block_1d_row_results and isinstance(answer, pd.Series) and len(answer) > 1 and answer.index.equals(frame.index[: len(answer)]):
             raise SafetyError("the answer is a column of rows")
-        if k and isinstance(answer, pd.DataFrame) and len(answer) > 1:
-            count = next((c for c in answer.columns if str(c).lower() in ("count", "n", "size")), None)
-            if count is None:
-                raise SafetyError("a grouped answer needs a count column")
-            answer = answer[answer[count] >= k]
     elif isinstance(answer, (list, tuple, set, dict)):
         check_result_rows(len(answer), policy)
+    if k:
+        answer = _large_groups(answer, frame, k)
     if len(repr(answer)) > policy.max_result_bytes:
         raise SafetyError("the answer is too large")
     return redact_value(answer) if policy.redact_result_pii else answer
 
 
+def _large_groups(answer: Any, frame: pd.DataFrame, k: int) -> Any:
+    """The small-group rule for every shape of answer.
+
+    Several values must be a frame of group keys with a count: a row stays if its own count and the size of its group in
+    the data both reach ``k``.  One value needs ``k`` rows of data.  What the code filtered before it counted cannot be
+    seen here, which is why every profile with a least group size forbids Python.
+    """
+    several = len(answer) > 1 if isinstance(answer, (pd.DataFrame, pd.Series, list, tuple, set, dict)) else False
+    if not several:
+        if len(frame) < k:
+            raise SafetyError(f"fewer than {k} rows; the answer could point at individuals")
+        return answer
+    if not isinstance(answer, pd.DataFrame):
+        raise SafetyError("several values must come as a frame of group keys with a count column")
+    answer = answer.reset_index() if any(answer.index.names) else answer
+    count = next((c for c in answer.columns if str(c).lower() in ("count", "n", "size")), None)
+    keys = [c for c in answer.columns if c in frame.columns and c != count]
+    if count is None or not keys:
+        raise SafetyError("a grouped answer needs its group keys and a count column")
+    sizes = frame.groupby(keys, dropna=False).size().rename("__size").reset_index()
+    joined = answer.merge(sizes, on=keys, how="left")
+    return answer[((joined["__size"] >= k) & (joined[count] >= k)).to_numpy()]
+
+
 def safe_python(df: DataFrame, question: str, model: Callable[[str], str], policy: Policy | None = None) -> GuardedResult:
     policy = policy or Policy.basic()
-    return _loop(df, question, model, policy, "Python code over the pandas frame df that sets result", lambda view, code: run_python(view, code, policy))
+    return _loop(df, question, model, policy, "Python code over the pandas frame df that sets result", lambda view, code: run_python(view, code, policy, [c for c in df.columns if c not in view.columns]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hushframe.errors import SafetyError
 from hushframe.functions import names as N
 from hushframe.functions import patterns as P
-from hushframe.operators.profile import profile
+from hushframe.operators.profile import profile, shared
 from hushframe.policy import SAFE_MODES, Policy
 from hushframe.types import is_numeric, is_text, quoted
 
@@ -61,6 +61,7 @@ def presidio_kinds(df: DataFrame, least: float = 0.5) -> dict[str, list[str]]:
     return {k: sorted(v) for k, v in out.items()}
 
 
+@shared
 def all_pii(df: DataFrame, scan_rows: int | str | None = "all", use_presidio: bool | None = None) -> dict[str, dict]:
     """``{column: {"kinds", "by"}}``; values are better evidence than names."""
     p = profile(df, scan_rows)
@@ -77,6 +78,7 @@ def all_pii(df: DataFrame, scan_rows: int | str | None = "all", use_presidio: bo
     return out
 
 
+@shared
 def privacy_report(df: DataFrame, scan_rows: int | str | None = "all", use_presidio: bool | None = None) -> dict:
     high, medium, actions = [], [], []
     for n, info in all_pii(df, scan_rows, use_presidio).items():
@@ -86,6 +88,7 @@ def privacy_report(df: DataFrame, scan_rows: int | str | None = "all", use_presi
     return {"pii_columns": sorted(x["column"] for x in high + medium), "high_risk": high, "medium_risk": medium, "recommended_action": actions, "note": "best effort: patterns and names, no guarantee of compliance"}
 
 
+@shared
 def risk_score(df: DataFrame, question: str | None = None, scan_rows: int | str | None = "all", use_presidio: bool | None = None, columns: list[str] | None = None) -> dict:
     """0 to 100.  ``columns`` scores a projection from the whole frame's profile, without another pass."""
     from hushframe.operators.quality import validate
@@ -133,6 +136,7 @@ class PrivacyPlan:
         return asdict(self)
 
 
+@shared
 def create_privacy_plan(df: DataFrame, question: str = "", safe_mode: str = "drop_unneeded_pii", scan_rows: int | str | None = "all", max_result_rows: int = 50, use_presidio: bool | None = None) -> PrivacyPlan:
     """The least columns that answer the question: personal data it does not name goes; ``minimal`` keeps only what it names."""
     if safe_mode not in SAFE_MODES:
@@ -178,6 +182,7 @@ def scan_risk_level(base: str, pii: list[str], cats: dict[str, list[str]]) -> st
     return "medium" if base == "low" and (pii or cats["business_identifier"] or cats["free_text"]) else base
 
 
+@shared
 def protect_columns(df: DataFrame, question: str | None, policy: Policy) -> tuple[PrivacyPlan, list[str]]:
     """The privacy plan and the columns that ``protect`` keeps."""
     plan = create_privacy_plan(df, question or "", policy.safe_mode, policy.pii_scan_rows, policy.max_result_rows, policy.use_presidio)
@@ -192,6 +197,7 @@ ALLOWED_OPERATIONS = ["filter", "groupby", "aggregate", "sort", "derive_column",
 BLOCKED_OPERATIONS = ["file_read", "file_write", "network", "shell", "code_eval", "raw_row_return"]
 
 
+@shared
 def create_contract(df: DataFrame, question: str | None = None, scan_rows: int | str | None = "all") -> dict:
     """A declarative policy for one frame and question."""
     from hushframe.operators.quality import TRAPS, infer_columns, validate
@@ -235,6 +241,7 @@ def key_suggests_pii(key: Any) -> bool:
     return N.pii_kind(str(key)) is not None
 
 
+@shared
 def redact_frame(df: DataFrame) -> DataFrame:
     """Columns named like personal data, or holding it, become ``[REDACTED]``; other text is redacted by pattern.  For bounded results."""
     info = all_pii(df)

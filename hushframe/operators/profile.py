@@ -1,23 +1,26 @@
 """One profile of a frame: every statistic that quality, privacy, summary and synthetic data need.
 
-Job A computes all non-distinct aggregates of all columns in one pass.  Job B computes exact distinct counts in
-batches, since each distinct expression in one aggregate copies every row.  Later callers reuse the result for the same plan.
+Job A computes all non-distinct aggregates of all columns in one pass.  Job B counts distinct values of all columns in one
+shuffle of 128-bit digests, so whole texts are never moved.  Within one call of the library (``shared``) later checks reuse
+the profile; it never outlives the call, so data that has changed since is read again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import dataclass, field
+from functools import wraps
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushframe.functions import names as N
 from hushframe.functions import patterns as P
-from hushframe.types import can_sum, is_boolean, is_integer, is_numeric, is_plain, is_text, is_time, present
+from hushframe.types import can_sum, is_boolean, is_float, is_integer, is_numeric, is_plain, is_text, is_time, present
 
-DISTINCT_BATCH = 8
 SAMPLES = 3
 
 
@@ -69,7 +72,24 @@ def _scalars(df: DataFrame, n: str, i: int) -> dict:
     return out
 
 
-_memo: dict[tuple, Profile] = {}
+#: Profiles of the running call: (frame, scan_rows, profile).
+_call: ContextVar[list[tuple] | None] = ContextVar("profiles", default=None)
+
+
+def shared(f: Callable) -> Callable:
+    """One call of ``f`` profiles a frame once; calls inside it join in."""
+
+    @wraps(f)
+    def run(*args, **more):
+        if _call.get() is not None:
+            return f(*args, **more)
+        token = _call.set([])
+        try:
+            return f(*args, **more)
+        finally:
+            _call.reset(token)
+
+    return run
 
 
 def bounded(df: DataFrame, scan_rows: int | str | None) -> DataFrame | None:
@@ -78,16 +98,19 @@ def bounded(df: DataFrame, scan_rows: int | str | None) -> DataFrame | None:
 
 
 def profile(df: DataFrame, scan_rows: int | str | None = "all", samples: bool = False) -> Profile:
-    """The profile of ``df``; kept for the last few plans, so that the checks of one question share one pass."""
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(df.dtypes), str(scan_rows), samples)
-    if key not in _memo:
-        while len(_memo) > 16:
-            _memo.pop(next(iter(_memo)))
-        _memo[key] = _profile(df, scan_rows, samples)
-    return _memo[key]
+    """The profile of ``df``; ``samples`` adds the least few values of each text column."""
+    kept, depth = _call.get(), str(scan_rows)
+    found = next((p for d, s, p in kept or () if s == depth and d.columns == df.columns and d.sameSemantics(df)), None)
+    if found is None:
+        found = _profile(df, scan_rows)
+        if kept is not None:
+            kept.append((df, depth, found))
+    if samples:
+        _add_samples(df, found)
+    return found
 
 
-def _profile(df: DataFrame, scan_rows: int | str | None, samples: bool) -> Profile:
+def _profile(df: DataFrame, scan_rows: int | str | None) -> Profile:
     aggs: dict = {}
     for i, n in enumerate(df.columns):
         aggs |= _scalars(df, n, i)
@@ -105,27 +128,48 @@ def _profile(df: DataFrame, scan_rows: int | str | None, samples: bool) -> Profi
         if get(f"luhn{i}"):
             p.pii = ["card"]
         out[n] = p
-    wanted = []
-    for i, n in enumerate(df.columns):
-        if is_plain(p_type := df.schema[n].dataType):
-            c = present(df, n)
-            wanted.append((n, "distinct", f"d{i}", F.count_distinct(c)))
-            if is_text(p_type):
-                wanted.append((n, "distinct_normal", f"m{i}", F.count_distinct(P.normalize_category(c))))
-    for at in range(0, len(wanted), DISTINCT_BATCH):
-        part = wanted[at : at + DISTINCT_BATCH]
-        got = df.agg(*[c.alias(k) for _, _, k, c in part]).first()
-        for n, attr, k, _ in part:
-            setattr(out[n], attr, got[k])
-    if samples:
-        # the least few values, so that they are the same at every run; kept sorted sets never grow beyond SAMPLES a task
-        text = [n for n in df.columns if is_text(df.schema[n].dataType)]
-        for n in text:
-            c = present(df, n)
-            out[n].samples = [r[0] for r in df.select(c.alias("v")).where("v is not null").distinct().orderBy("v").limit(SAMPLES).collect()]
+    for (n, attr), count in _distinct(df).items():
+        setattr(out[n], attr, count)
     return Profile(one["n"], out)
 
 
+def _distinct(df: DataFrame) -> dict[tuple[str, str], int]:
+    """Distinct values of every plain column, and of every text column's normal forms: rows of (column, digest), combined before one shuffle."""
+    wanted: list[tuple[str, str, Column]] = []
+    for n in df.columns:
+        t, c = df.schema[n].dataType, present(df, n)
+        if is_plain(t):
+            wanted.append((n, "distinct", c + 0.0 if is_float(t) else c))  # minus zero is zero
+            if is_text(t):
+                wanted.append((n, "distinct_normal", P.normalize_category(c)))
+    if not wanted:
+        return {}
+    # two hashes with different seeds: 128 bits
+    digest = lambda i, c: F.when(c.isNotNull(), F.struct(F.lit(i).alias("i"), F.xxhash64(c).alias("a"), F.xxhash64(F.lit(0x5EED), c).alias("b")))
+    rows = df.select(F.inline(F.filter(F.array(*[digest(i, c) for i, (_, _, c) in enumerate(wanted)]), lambda x: x.isNotNull())))
+    counts = {r["i"]: r["n"] for r in rows.distinct().groupBy("i").agg(F.count("*").alias("n")).collect()}
+    return {(n, attr): counts.get(i, 0) for i, (n, attr, _) in enumerate(wanted)}
+
+
+def _add_samples(df: DataFrame, p: Profile) -> None:
+    """The least ``SAMPLES`` values of each text column, the same at every run: one pass for each rank, not for each column."""
+    open_ = {i: [] for i, n in enumerate(df.columns) if is_text(df.schema[n].dataType) and p.columns[n].present and not p.columns[n].samples}
+    done: dict[int, list] = {}
+    for _ in range(SAMPLES if open_ else 0):
+        after = {i: F.min(F.when(present(df, df.columns[i]) > got[-1], present(df, df.columns[i])) if got else present(df, df.columns[i])) for i, got in open_.items()}
+        row = df.agg(*[c.alias(f"s{i}") for i, c in after.items()]).first()
+        for i in list(open_):
+            if row[f"s{i}"] is None:
+                done[i] = open_.pop(i)
+            else:
+                open_[i].append(row[f"s{i}"])
+        if not open_:
+            break
+    for i, got in (done | open_).items():
+        p.columns[df.columns[i]].samples = got
+
+
+@shared
 def column_facts(df: DataFrame) -> list[dict]:
     """Type, nullability, sign, uniqueness and personal data of each column."""
     p = profile(df)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions import names as N
 from hushframe.functions import patterns as P
-from hushframe.operators.profile import ColumnProfile, profile
+from hushframe.operators.profile import ColumnProfile, profile, shared
 from hushframe.types import is_boolean, is_numeric, is_plain, is_text, is_time, present
 
 NUMERIC_SHARE, DATE_SHARE, SERIAL_SHARE, CARDINALITY, MISSING = 0.7, 0.9, 0.9, 0.9, 0.6
@@ -93,8 +93,14 @@ def _of_column(c: ColumnProfile, rows: int) -> list[Issue]:
 _ORDER = [*ABOUT]
 
 
+@shared
 def validate(df: DataFrame, evidence: bool = False, scan_rows: int | str | None = "all") -> list[Issue]:
-    """All findings.  ``evidence=True`` adds the spellings of each messy category, one small query each."""
+    """All findings.  ``evidence=True`` adds the spellings of each messy category, one small query each.
+
+    Repeated column names are a finding; the columns are told apart as ``a``, ``a.1`` for the other rules.
+    """
+    names, twice = N.dedupe(df.columns)
+    df = df.toDF(*names) if twice else df
     p = profile(df, scan_rows)
     columns = [i for c in p.columns.values() for i in _of_column(c, p.rows)]
     text = [i for i in columns if i.rule_id in ("TEXT_NUMERIC", "DATE_AS_TEXT", "MESSY_CATEGORY", "HIGH_CARDINALITY")]
@@ -109,7 +115,12 @@ def validate(df: DataFrame, evidence: bool = False, scan_rows: int | str | None
         for i in text:
             if i.rule_id == "MESSY_CATEGORY":
                 i.evidence = spellings(df, i.column)
-    return text + rest + pii
+    return duplicate_names(twice) + text + rest + pii
+
+
+def duplicate_names(twice: list[str]) -> list[Issue]:
+    """A finding for each repeated name; ``names.dedupe`` finds them in any list of names."""
+    return [Issue("DUPLICATE_COLUMNS", "high", 1.0, n, f"several columns are called '{n}'", twice, "rename them", f"df.toDF(*names.dedupe(df.columns)[0])  # {n!r}") for n in twice]
 
 
 def spellings(df: DataFrame, column: str, most: int = 4) -> list[str]:
@@ -120,12 +131,14 @@ def spellings(df: DataFrame, column: str, most: int = 4) -> list[str]:
     return [r["v"] for r in pairs.join(F.broadcast(first), "k").select("v").orderBy("v").limit(most).collect()]
 
 
+@shared
 def findings(df: DataFrame) -> DataFrame:
     """The findings as a frame."""
     rows = [(i.rule_id, i.severity, float(i.confidence), i.column, i.message, i.suggestion, i.suggested_code) for i in validate(df)]
     return df.sparkSession.createDataFrame(rows, "rule_id string, severity string, confidence double, column string, message string, suggestion string, suggested_code string")
 
 
+@shared
 def suggest_fixes(df: DataFrame) -> list[dict]:
     return [{"rule_id": i.rule_id, "column": i.column, "suggested_code": i.suggested_code} for i in validate(df) if i.suggested_code]
 
@@ -143,12 +156,14 @@ def explain_issue(issue: Issue | str) -> str:
     return ABOUT.get(rule, "Unknown finding.")
 
 
+@shared
 def detect_traps(df: DataFrame) -> list[dict]:
     """Findings that make an answer wrong, worded for a model."""
     skip = {"CONSTANT_COLUMN", "HIGH_CARDINALITY"}
     return [{"column": i.column, "trap": i.rule_id, "warning": i.message, "tell_the_model": i.suggestion} for i in validate(df) if i.rule_id in TRAPS - skip]
 
 
+@shared
 def infer_columns(df: DataFrame) -> dict[str, str]:
     """A meaning for each column: pii_*, identifier, date, money, quantity, numeric, text or category."""
     out, p = {}, profile(df)
@@ -185,6 +200,7 @@ _DIMENSIONS = {
 }
 
 
+@shared
 def quality_score(df: DataFrame) -> dict:
     """A score of 0 to 100 by dimension; privacy is judged apart, since one column of emails is enough to matter."""
     from hushframe.operators.privacy import privacy_report
@@ -201,6 +217,7 @@ def quality_score(df: DataFrame) -> dict:
     return {"score": total, "label": label(total), "breakdown": parts, "privacy_risk": risk, "safe_to_send_raw": risk == "Low", "ai_readiness": ready, "issue_count": len(issues)}
 
 
+@shared
 def ai_readiness(df: DataFrame, max_tokens: int = 6000) -> dict:
     from hushframe.operators.privacy import privacy_report
     from hushframe.operators.summary import token_stats

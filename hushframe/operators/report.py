@@ -6,8 +6,9 @@ from html import escape
 
 from pyspark.sql import DataFrame
 
-from hushframe.operators.profile import column_facts, kind, profile
+from hushframe.operators.profile import column_facts, kind, profile, shared
 from hushframe.operators.quality import quality_score, validate
+from hushframe.sources.files import write_text
 
 
 def _page(title: str, body: str) -> str:
@@ -15,6 +16,7 @@ def _page(title: str, body: str) -> str:
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title><style>{style}</style></head><body><h1>{escape(title)}</h1>{body}</body></html>"
 
 
+@shared
 def html_report(df: DataFrame, path: str | None = None, title: str = "Data quality") -> str:
     """Each column red, amber or green by its gravest finding; no values are shown."""
     p, issues, score = profile(df), validate(df), quality_score(df)
@@ -28,20 +30,23 @@ def html_report(df: DataFrame, path: str | None = None, title: str = "Data quali
     return _write(_page(title, body), path)
 
 
+#: Columns of the audit table: where each stands in a receipt.
+AUDIT = (("request", "id"), ("request", "at"), ("request", "question"), ("request", "engine"), ("exposure", "personal_columns_withheld"), ("limits", "least_group"), ("outcome", "answer"), ("outcome", "refused"))
+
+
 def html_audit(entries: list[dict], path: str | None = None, title: str = "Audit") -> str:
     """Receipts as a table."""
-    keys = ("audit_id", "timestamp_utc", "question", "mode", "pii_columns_dropped", "min_group_size", "answer_shape")
-    rows = "".join("<tr>" + "".join(f"<td>{escape(str(e.get(k)))}</td>" for k in keys) + "</tr>" for e in entries)
-    return _write(_page(title, "<table><tr>" + "".join(f"<th>{k}" for k in keys) + f"</tr>{rows}</table>"), path)
+    rows = "".join("<tr>" + "".join(f"<td>{escape(str(e.get(part, {}).get(key)))}</td>" for part, key in AUDIT) + "</tr>" for e in entries)
+    return _write(_page(title, "<table><tr>" + "".join(f"<th>{key.replace('_', ' ')}" for _, key in AUDIT) + f"</tr>{rows}</table>"), path)
 
 
 def _write(text: str, path: str | None) -> str:
     if path:
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(text)
+        write_text(text, path)
     return text
 
 
+@shared
 def expectation_suite(df: DataFrame, name: str = "suite") -> dict:
     """A portable suite of expectations from the frame's facts."""
     out = []

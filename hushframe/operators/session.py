@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from hushframe.operators.privacy import privacy_report, protect_columns
+from hushframe.operators.profile import shared
 from hushframe.plans.execute import execute, prepare
 from hushframe.plans.plan import Plan
 from hushframe.policy import Policy
@@ -75,6 +76,7 @@ class SafeSession:
     def _out(self, answer: Any, receipt: dict | None, reason: str | None) -> dict:
         return {"answer": answer, "receipt": receipt, "blocked": reason is not None, "reason": reason, "used_budget": self.used, "remaining_budget": max(self.budget - self.used, 0)}
 
+    @shared
     def ask(self, question: str) -> dict:
         cost = question_cost(question, self.pii_columns, self.costs)
         if self.used + cost > self.budget:

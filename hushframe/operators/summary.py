@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 
 from hushframe.functions import names as N
 from hushframe.functions import patterns as P
-from hushframe.operators.profile import kind, profile
+from hushframe.operators.profile import kind, profile, shared
 from hushframe.operators.quality import TRAPS, validate
 from hushframe.types import is_numeric, is_text, is_time, quoted
 
 RAW_SAMPLE = 200
 
 
+@shared
 def summarize(df: DataFrame, mask: bool = True) -> str:
     """Rows, columns with type, missing share and range or (redacted) samples, and the data's traps."""
     p = profile(df, samples=True)
@@ -42,6 +43,7 @@ def build_safe_prompt(df: DataFrame, question: str, privacy: str = "masked") ->
     return f"Data summary:\n{summarize(df, privacy == 'masked')}\n\nQuestion: {question}\n"
 
 
+@shared
 def token_stats(df: DataFrame) -> dict:
     """Estimated tokens of the raw table (from its first rows) and of the summary."""
     rows = profile(df).rows
@@ -51,6 +53,7 @@ def token_stats(df: DataFrame) -> dict:
     return {"raw_tokens": raw, "summary_tokens": P.estimate_tokens_text(summarize(df)), "rows": rows}
 
 
+@shared
 def token_savings(df: DataFrame) -> dict:
     """Share of tokens that a summary saves; shown as 99.99 % at most."""
     s = token_stats(df)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from hushframe.errors import ModelError, SafetyError
 from hushframe.operators.privacy import PrivacyPlan, create_privacy_plan, make_safe_view, redact_value
+from hushframe.operators.profile import shared
 from hushframe.operators.receipt import create_receipt
 from hushframe.operators.shadow import shadow_rows
 from hushframe.plans.lower import ROWS, lower
@@ -84,6 +85,7 @@ def plan_prompt(view: DataFrame, question: str, policy: Policy, error: str | Non
     return "\n\n".join([*parts, f"The last reply was refused: {error}"] if error else parts)
 
 
+@shared
 def prepare(df: DataFrame, question: str, model: Callable[[str], str], policy: Policy | None = None, retries: int = RETRIES) -> Prepared:
     """Minimise columns, ask the model for a plan, validate it; refusals are told to the model for another try."""
     policy = policy or Policy.regulated()
@@ -113,9 +115,10 @@ def execute(prepared: Prepared) -> PlanResult:
             reason = str(e)
         except Exception as e:  # noqa: BLE001  fail closed
             reason = f"the plan could not be run ({type(e).__name__})"
-    receipt = create_receipt(prepared.question, "plan", prepared.privacy, prepared.policy, answer, prepared.plan)
+    receipt = create_receipt(prepared.question, "plan", prepared.privacy, prepared.policy, answer, prepared.plan, reason)
     return PlanResult(answer, prepared.plan, reason is not None, reason, receipt, prepared.attempts)
 
 
+@shared
 def safe_query(df: DataFrame, question: str, model: Callable[[str], str], policy: Policy | None = None) -> PlanResult:
     return execute(prepare(df, question, model, policy))

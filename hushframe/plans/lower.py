@@ -12,6 +12,8 @@ from hushframe.errors import SafetyError
 from hushframe.plans.plan import Metric, Plan
 from hushframe.types import is_boolean, is_numeric, is_text, is_time, present, quoted
 
+#: Of approximate quantiles: the rank is off by 1/ACCURACY of the rows at most.
+ACCURACY = 10_000
 #: Name of the row count that execution checks and drops.
 ROWS = "__rows"
 
@@ -53,18 +55,27 @@ def _literal(t: T.DataType, v: Any) -> Column | None:
     if is_text(t):
         return F.lit(v) if isinstance(v, str) else None
     if is_time(t) and isinstance(v, str):
-        return F.lit(v).try_cast(t) if _is_time_text(v, t) else None
+        return _instant(v, t)
     return None
 
 
-def _is_time_text(v: str, t: T.DataType) -> bool:
-    """Whether the text is a date or time (judged on the driver, so the literal folds to a constant)."""
+def _instant(text: str, t: T.DataType) -> Column | None:
+    """The time that a text means, parsed once on the driver in any common notation, as a constant that is never null.
+
+    A time with a zone has no place in a column without one.
+    """
     import pandas as pd
 
     try:
-        return not pd.isna(pd.Timestamp(v))
+        at = pd.Timestamp(text)
     except (ValueError, TypeError):
-        return False
+        return None
+    if pd.isna(at) or (at.tzinfo is not None and not isinstance(t, T.TimestampType)):
+        return None
+    at = at.floor("us")
+    if isinstance(t, T.DateType) and at != at.normalize():
+        return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(at.isoformat(sep=" ") if not isinstance(t, T.DateType) else at.date().isoformat()).cast(t)
 
 
 def filtered(df: DataFrame, plan: Plan) -> DataFrame:
@@ -80,7 +91,7 @@ def metric(df: DataFrame, m: Metric, exact: bool = True) -> Column:
     made = {
         "sum": lambda: F.coalesce(F.sum(n), F.lit(0)),
         "mean": lambda: F.avg(n),
-        "median": lambda: F.median(n),
+        "median": lambda: F.median(n) if exact else F.percentile_approx(n.cast("double"), 0.5, ACCURACY),
         "min": lambda: F.min(c),
         "max": lambda: F.max(c),
         "count": lambda: F.count(c),
@@ -103,6 +114,7 @@ def lower(df: DataFrame, plan: Plan, k: int | None = None, cap: int = 50, exact:
 
     Groups under ``k`` are dropped before sorting and limiting.  ``aggregate``, ``describe`` and ``count_rows`` carry
     the number of filtered rows in ``__rows``, for the caller to check and drop.  Ties are ordered by the group keys.
+    ``exact=False`` sketches medians, quantiles and distinct counts: for groups whose distinct values outgrow a task.
     """
     rows = filtered(df, plan)
     limit = min(plan.limit or cap, cap)
@@ -111,7 +123,7 @@ def lower(df: DataFrame, plan: Plan, k: int | None = None, cap: int = 50, exact:
     if plan.operation == "aggregate":
         return rows.agg(*[metric(rows, m, exact) for m in plan.metrics], F.count("*").alias(ROWS))
     if plan.operation == "describe":
-        return describe(rows, limit)
+        return describe(rows, limit, exact)
     if plan.operation == "value_counts":
         (key,) = plan.group_by
         counts = keyed(rows, plan.group_by).groupBy(quoted(key)).agg(F.count("*").alias("count"))
@@ -131,15 +143,18 @@ def lower(df: DataFrame, plan: Plan, k: int | None = None, cap: int = 50, exact:
 STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
-def describe(df: DataFrame, columns: int) -> DataFrame:
-    """Eight statistics of the first numeric columns, one row for each statistic; quantiles are exact."""
+def describe(df: DataFrame, columns: int, exact: bool = True) -> DataFrame:
+    """Eight statistics of the first numeric columns, one row for each statistic.
+
+    Exact quantiles keep every distinct value of a column in one task; ``exact=False`` keeps a sketch of bounded size.
+    """
     names = [f.name for f in df.schema.fields if is_numeric(f.dataType)][:columns]
     if not names:
         raise SafetyError("describe needs a numeric column")
     aggs = []
     for i, n in enumerate(names):
         c = present(df, n).cast("double")
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact else F.percentile_approx(c, [0.25, 0.5, 0.75], ACCURACY)
         aggs += [F.array(F.count(c).cast("double"), F.avg(c), F.stddev_samp(c), F.min(c), q[0], q[1], q[2], F.max(c)).alias(f"c{i}")]
     one = df.agg(*aggs, F.count("*").alias(ROWS))
     rows = F.array(*[F.struct(F.lit(s).alias("index"), *[F.col(f"c{i}")[j].alias(n) for i, n in enumerate(names)]) for j, s in enumerate(STATS)])

@@ -9,22 +9,15 @@ from pyspark.sql import functions as F
 
 from hushframe.functions import names as N
 from hushframe.functions import patterns as P
-from hushframe.operators.privacy import create_privacy_plan, k_anonymize, make_safe_view, mask_blocked, privacy_report, protect_columns, redact_frame
+from hushframe.operators.privacy import create_privacy_plan, k_anonymize, make_safe_view, mask_blocked, protect_columns, redact_frame
 from hushframe.operators.profile import profile
 from hushframe.operators.quality import findings, validate
 from hushframe.operators.shadow import create_shadow
 from hushframe.plans.lower import ROWS, lower
 from hushframe.plans.plan import parse, validate as check
 from hushframe.policy import Policy
-from hushframe.types import is_numeric, is_text, quoted
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from hushframe.registry import ORACLE_SQL, QUERIES, own, people, read
+from hushframe.types import is_numeric, quoted
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -43,16 +36,6 @@ def planned(name: str, table: str, raw: dict, sql: str, k: int | None = None, ca
     QUERIES[name], ORACLE_SQL[name] = run, sql
 
 
-def own(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
 def metric(column: str, agg: str, as_name: str | None = None) -> dict:
     return {"column": column, "agg": agg, "as_name": as_name}
 
@@ -83,8 +66,6 @@ _filters = {
 for n, (c, op, v, sql) in _filters.items():
     planned(f"filter_{n}", "orders", {"operation": "groupby_aggregate", "group_by": ["o_orderstatus"], "metrics": [metric("o_totalprice", "sum", "total")], "filters": [{"column": c, "op": op, "value": v}]}, f"SELECT o_orderstatus, round(sum(o_totalprice), 4) AS total, count(*) AS count FROM orders WHERE {sql} GROUP BY 1")
 planned("kanon_groups", "supplier", {"operation": "value_counts", "group_by": ["s_nationkey"]}, "SELECT s_nationkey, count(*) AS count FROM supplier GROUP BY 1 HAVING count(*) >= 3", k=3)
-planned("kanon_frame", "nation", {"operation": "aggregate", "metrics": [metric("n_nationkey", "max")], "filters": [{"column": "n_regionkey", "op": "==", "value": 1}]}, "SELECT max(n_nationkey) AS max_n_nationkey FROM nation WHERE n_regionkey = 1 HAVING count(*) >= 10", k=10)
-planned("kanon_count", "nation", {"operation": "count_rows", "filters": [{"column": "n_regionkey", "op": "==", "value": 1}]}, "SELECT count(*) AS count FROM nation WHERE n_regionkey = 1 HAVING count(*) >= 10", k=10)
 planned("topk", "lineitem", {"operation": "groupby_aggregate", "group_by": ["l_partkey"], "metrics": [metric("l_quantity", "sum", "q")], "sort_by": "q", "limit": 10}, "SELECT l_partkey, round(sum(l_quantity), 4) AS q, count(*) AS count FROM lineitem GROUP BY 1 ORDER BY q DESC, l_partkey LIMIT 10")
 planned("sort_metric", "events", {"operation": "groupby_aggregate", "group_by": ["user_id"], "metrics": [metric("value", "mean", "v")], "sort_by": "v", "ascending": True, "limit": 20}, "SELECT user_id, round(avg(value), 4) AS v, count(*) AS count FROM events GROUP BY 1 ORDER BY avg(value), user_id LIMIT 20")
 planned("sort_default", "part", {"operation": "groupby_aggregate", "group_by": ["p_brand", "p_size"], "metrics": [metric("p_retailprice", "max", "top")]}, "SELECT p_brand, p_size, round(max(p_retailprice), 4) AS top, count(*) AS count FROM part GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 50")
@@ -92,32 +73,27 @@ planned("limit_cap", "customer", {"operation": "value_counts", "group_by": ["c_n
 planned("drop_count", "orders", {"operation": "groupby_aggregate", "group_by": ["o_orderstatus"], "metrics": [metric("o_totalprice", "min")], "include_count": False}, "SELECT o_orderstatus, round(min(o_totalprice), 4) AS min_o_totalprice FROM orders GROUP BY 1")
 
 
-def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers under names that the name rules know."""
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_name"), F.col("c_nationkey").alias("region_code"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
-
-
 @own("safe_view", "SELECT c_custkey AS customer_id, c_nationkey AS region_code, c_acctbal AS balance, c_mktsegment AS segment FROM customer")
 def _(spark, sf_dir):
-    df = _people(spark, sf_dir)
+    df = people(spark, sf_dir)
     return make_safe_view(df, create_privacy_plan(df, "average balance by segment"))
 
 
 @own("minimal", "SELECT c_acctbal AS balance, c_mktsegment AS segment FROM customer")
 def _(spark, sf_dir):
-    df = _people(spark, sf_dir)
+    df = people(spark, sf_dir)
     return make_safe_view(df, create_privacy_plan(df, "average balance by segment", "minimal"))
 
 
 @own("protect", "SELECT c_nationkey AS region_code, c_acctbal AS balance, c_mktsegment AS segment FROM customer")
 def _(spark, sf_dir):
-    df = _people(spark, sf_dir)
+    df = people(spark, sf_dir)
     return df.select(*map(quoted, protect_columns(df, "average balance by segment", Policy.from_profile("banking"))[1]))
 
 
 @own("mask_blocked", "SELECT c_custkey AS customer_id, c_mktsegment AS segment, TRUE AS masked FROM customer")
 def _(spark, sf_dir):
-    masked = mask_blocked(_people(spark, sf_dir), ["customer_name"])
+    masked = mask_blocked(people(spark, sf_dir), ["customer_name"])
     return masked.select("customer_id", "segment", F.col("customer_name").rlike(r"^\[RESTRICTED_\d{3,}\]$").alias("masked"))
 
 
@@ -137,10 +113,15 @@ def _(spark, sf_dir):
     return k_anonymize(read(spark, sf_dir, "customer").groupBy("c_nationkey").count(), 60)
 
 
-@own("looks_numeric", r"SELECT event_type, count(*) FILTER (regexp_matches(CAST(value AS VARCHAR), '^\s*[-+]?[$£€]?\s*[\d,]+(\.\d+)?\s*%?\s*$')) AS n FROM events WHERE value >= 0.01 AND value < 100000 GROUP BY 1")
+@own(
+    "looks_numeric",
+    r"SELECT event_type, count(*) AS n, count(*) FILTER (regexp_matches(CAST(CAST(value AS DECIMAL(18, 4)) AS VARCHAR),"
+    r" '^\s*[-+]?[$£€]?\s*[\d,]+(\.\d+)?\s*%?\s*$')) AS numeric FROM events GROUP BY 1",
+)
 def _(spark, sf_dir):
-    e = read(spark, sf_dir, "events").where("value >= 0.01 and value < 100000")
-    return e.groupBy("event_type").agg(F.count_if(P.looks_numeric(F.col("value").cast("string"))).alias("n"))
+    # fixed decimals: the two engines print small and large doubles differently
+    text = F.col("value").cast("decimal(18,4)").cast("string")
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(P.looks_numeric(text)).alias("numeric"))
 
 
 @own("looks_date", r"SELECT event_type, count(*) FILTER (regexp_matches(strftime(ts, '%Y-%m-%d %H:%M'), '^\s*\d{4}[-/]\d{1,2}[-/]\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2})?)?\s*$')) AS n FROM events GROUP BY 1")
@@ -153,7 +134,7 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", P.normalize_category(F.col("p_name")).alias("k"))
 
 
-for _label in ("EMAIL", "SSN", "IP"):
+for _label in ("EMAIL", "IP"):
     QUERIES[f"pii_{_label.lower()}"] = lambda spark, sf_dir, k=_label: read(spark, sf_dir, "documents").where(P.has_pii(F.col("text"), k)).select("doc_id")
     ORACLE_SQL[f"pii_{_label.lower()}"] = f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{P.PII[_label]}')"
 QUERIES["pii_card"] = lambda spark, sf_dir: read(spark, sf_dir, "documents").where(P.has_pii(F.col("text"), "CARD")).select("doc_id")
@@ -183,9 +164,12 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", P.redact(F.col("text")).alias("redacted"))
 
 
-@own("redact_result")
+@own(
+    "redact_result",
+    "SELECT c_custkey AS customer_id, '[REDACTED]' AS customer_name, c_nationkey AS region_code, c_acctbal AS balance, c_mktsegment AS segment FROM customer",
+)
 def _(spark, sf_dir):
-    return redact_frame(_people(spark, sf_dir))
+    return redact_frame(people(spark, sf_dir))
 
 
 @own("estimate_tokens", "SELECT doc_id, greatest(1, CAST(round_even(length(text) / 4.0, 0) AS INTEGER)) AS tokens FROM documents")
@@ -238,23 +222,26 @@ def _(spark, sf_dir):
     return findings(read(spark, sf_dir, "documents"))
 
 
-@own("pii_values", " UNION ALL ".join(f"SELECT 'text' AS column, '{k.lower()}' AS kind FROM documents HAVING bool_or(regexp_matches(text, '{P.PII[k]}'))" for k in ("EMAIL", "CARD", "SSN", "IP")))
-def _(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(*[quoted(f.name) for f in read(spark, sf_dir, "documents").schema.fields if is_text(f.dataType)])
-    return spark.createDataFrame([(n, k) for n, c in profile(d).columns.items() for k in c.pii if k != "phone"], "column string, kind string")
+_phone = (
+    f"regexp_matches(text, '{P.PII['PHONE']}') AND length(regexp_replace(text, '\\D', '', 'g')) >= 10"
+    f" AND NOT regexp_matches(text, '{P.DATE_IN_TEXT}') AND NOT regexp_matches(text, '{P.TIME_IN_TEXT}')"
+)
 
 
-@own("privacy_report")
+@own(
+    "pii_values",
+    " UNION ALL ".join(
+        f"SELECT 'text' AS column, '{k.lower()}' AS kind FROM documents HAVING bool_or({_phone if k == 'PHONE' else f"regexp_matches(text, '{P.PII[k]}')"})" for k in P.PII
+    ),
+)
 def _(spark, sf_dir):
-    r = privacy_report(_people(spark, sf_dir))
-    return spark.createDataFrame([(x["column"], x["by"], level) for level in ("high_risk", "medium_risk") for x in r[level]], "column string, evidence string, level string")
+    p = profile(read(spark, sf_dir, "documents"))
+    return spark.createDataFrame([(n, k) for n, c in p.columns.items() for k in c.pii], "column string, kind string")
 
 
 @own("shadowframe")
 def _(spark, sf_dir):
-    return create_shadow(_people(spark, sf_dir), 200, seed=7)
+    return create_shadow(people(spark, sf_dir), 200, seed=7)
 
 
-@own("src_parquet", "SELECT r_regionkey, r_name FROM region")
-def _(spark, sf_dir):
-    return read(spark, sf_dir, "region")
+from hushframe import queries_wide  # noqa: E402, F401  registers more queries

@@ -26,21 +26,29 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """An array of records or one record per line; a single object of columns (lists, or index -> value) is turned on the driver."""
-    reader = spark.read.option("multiLine", True)
-    df = reader.schema(schema).json(path) if schema else reader.json(path)
-    if not schema and df.columns and all(isinstance(f.dataType, (T.ArrayType, T.StructType)) for f in df.schema.fields) and len(rows := df.limit(2).collect()) == 1:
+    """One record per line, or one array of records; a single object of columns (lists, or index -> value) is turned on the driver.
+
+    The first line tells which: lines that are values by themselves are split between tasks, a value over several lines is not.
+    """
+    first = next((r[0] for r in spark.read.text(path).where("trim(value) <> ''").limit(1).collect()), "")
+    try:
+        json.loads(first)
+        by_line = True
+    except ValueError:
+        by_line = False
+    reader = spark.read.option("multiLine", not by_line)
+    if schema:
+        return reader.schema(schema).json(path)
+    df = reader.json(path)
+    if "_corrupt_record" in df.columns:
+        raise ValueError(f"{path} is not valid JSON")
+    if df.columns and all(isinstance(f.dataType, (T.ArrayType, T.StructType)) for f in df.schema.fields) and len(rows := df.limit(2).collect()) == 1:
         record = rows[0].asDict(recursive=True)
         cols = {k: list(v.values()) if isinstance(v, dict) else v for k, v in record.items()}
         if len({len(v) for v in cols.values() if v is not None}) == 1:
             import pandas as pd
 
             return spark.createDataFrame(pd.DataFrame(cols))
-    if not schema and "_corrupt_record" in df.columns:
-        lines = spark.read.json(path)
-        if "_corrupt_record" not in lines.columns:
-            return lines
-        raise ValueError(f"{path} is not valid JSON")
     return df
 
 
@@ -94,6 +102,20 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_text(text: str, path: str) -> None:
+    """One small text file, on any file system that Spark reaches; the driver's own disk without a session."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+        return
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def write_json(value: Any, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(value, f, default=str, indent=2)
+    write_text(json.dumps(value, default=str, indent=2), path)

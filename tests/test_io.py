@@ -21,6 +21,9 @@ def test_load_by_extension(spark, tmp_path, csv):
     for name, text in (("r", '[{"a": 1, "b": "x"}, {"a": 2, "b": "y"}]'), ("c", '{"a": [1, 2], "b": ["x", "y"]}'), ("i", '{"a": {"0": 1, "1": 2}, "b": {"0": "x", "1": "y"}}')):
         (tmp_path / f"{name}.json").write_text(text)
         assert sorted((r["a"], r["b"]) for r in load(spark, str(tmp_path / f"{name}.json")).collect()) == [(1, "x"), (2, "y")]
+    for name, text in (("lines", '{"a": 1, "b": "x"}\n{"a": 2, "b": "y"}\n'), ("wide", '[\n {"a": 1, "b": "x"},\n {"a": 2,\n "b": "y"}\n]')):
+        (tmp_path / f"{name}.json").write_text(text)
+        assert sorted((r["a"], r["b"]) for r in load(spark, str(tmp_path / f"{name}.json")).collect()) == [(1, "x"), (2, "y")]
     load(spark, csv).write.parquet(str(tmp_path / "p.parquet"))
     assert load(spark, str(tmp_path / "p.parquet")).count() == 2
     with pytest.raises(FileNotFoundError):

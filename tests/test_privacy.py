@@ -8,7 +8,7 @@ from hushframe.functions import names as N
 from hushframe.functions import patterns as P
 from hushframe.operators import guarded
 from hushframe.operators.agent import Agent
-from hushframe.operators.leak import collect_sensitive_values, detect_leak, leak_test
+from hushframe.operators.leak import attacks_on, collect_sensitive_values, detect_leak, leak_test
 from hushframe.operators.privacy import create_contract, create_privacy_plan, k_anonymize, mask_blocked, privacy_report, redact_frame, redact_value
 from hushframe.operators.profile import column_facts, profile
 from hushframe.operators.quality import ai_readiness, infer_columns, quality_score, repair, spellings, validate
@@ -40,7 +40,7 @@ def test_dedupe_names():
 
 
 def test_value_patterns_agree_with_python(spark):
-    cells = ["a@b.co", "é.ü@exämple.com", "4111 1111 1111 1111", "123-45-6789", "10.0.0.1", "+44 20 7946 0958", "2024-10-07 16:38:46", "call 020 7946 0958 x", "none", "", "tel 1.2"]
+    cells = ["a@b.co", "é.ü@exämple.com", "4111 1111 1111 1111", "123-45-6789", "10.0.0.1", "+44 20 7946 0958", "2024-10-07 16:38:46", "call 020 7946 0958 x", "none", "", "tel 1.2", "+44 20 7946 0958", "a 020 7946 0958 1, b +44 20 7946 0958", "1 2 3 2024-01-01 020 7946 0958 77"]
     df = spark.createDataFrame([(c,) for c in cells] + [(None,)], "c string")
     for label in P.PII:
         got = {r["c"] for r in df.where(P.has_pii(F.col("c"), label)).collect()}
@@ -78,6 +78,25 @@ def test_protect_and_scan(people):
     assert s.risk_level == "high" and s.rows == 60 and "account_number" in s.business_identifier_columns
 
 
+def test_profiles_do_not_outlive_a_call(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("plain words",)], "note string").write.parquet(path)
+    assert privacy_report(spark.read.parquet(path))["pii_columns"] == []
+    spark.createDataFrame([("mail a@b.org",)], "note string").write.mode("append").parquet(path)
+    assert privacy_report(spark.read.parquet(path))["pii_columns"] == ["note"] and scan(spark.read.parquet(path)).rows == 2
+
+
+def test_repeated_names_are_a_finding(spark):
+    df = spark.createDataFrame([(1, 2), (3, 4)], "x long, y long").select(F.col("x"), F.col("y").alias("x"))
+    assert [(i.rule_id, i.column) for i in validate(df)] == [("DUPLICATE_COLUMNS", "x")]
+
+
+def test_distinct_counts_and_samples(spark):
+    df = spark.createDataFrame([("b", 0.0, True), ("B ", -0.0, None), ("a", float("nan"), True), ("b", 1.5, False), (None, None, None), ("d", 2.0, True)], "s string, v double, f boolean")
+    p = profile(df, samples=True).columns
+    assert (p["s"].distinct, p["s"].distinct_normal, p["v"].distinct, p["f"].distinct) == (4, 3, 3, 2) and p["s"].samples == ["B ", "a", "b"]
+
+
 def test_frame_gate(spark, people):
     with pytest.raises(DataError):
         scan(people.select(F.lit(1).alias("x"), F.lit(2).alias("x")))
@@ -149,32 +168,101 @@ def test_ask(people):
     assert few.ok and few.answer.empty and few.warnings
 
 
-@pytest.mark.parametrize(
-    "sql",
-    ["SELECT * FROM data", "SELECT region, count(*) AS count FROM other GROUP BY 1", "SELECT java_method('a','b') , count(*) FROM data", "SELECT collect_list(region), count(*) AS count FROM data", "DROP TABLE data", "INSERT INTO data SELECT 1", "SELECT count(*) FROM data JOIN data d2 ON true", "SELECT region FROM data UNION ALL SELECT region FROM data", "SELECT count(*) FROM parquet.`/etc`", "SELECT count(*) FROM data WHERE region IN (SELECT region FROM data)", "nonsense", "SELECT explode(array(1)), count(*) FROM data LATERAL VIEW explode(array(1)) t AS x GROUP BY 1"],
-)
-def test_sql_screen_refuses(spark, sql):
+REFUSED_SQL = [
+    "SELECT * FROM data", "SELECT region, count(*) AS count FROM other GROUP BY 1", "SELECT java_method('a','b') , count(*) FROM data", "SELECT collect_list(region), count(*) AS count FROM data",
+    "DROP TABLE data", "INSERT INTO data SELECT 1", "SELECT count(*) FROM data JOIN data d2 ON true", "SELECT region FROM data UNION ALL SELECT region FROM data", "SELECT count(*) FROM parquet.`/etc`",
+    "SELECT count(*) FROM data WHERE region IN (SELECT region FROM data)", "SELECT count(*) FROM data WHERE balance > (SELECT avg(balance) FROM data)", "nonsense",
+    "SELECT explode(array(1)), count(*) FROM data LATERAL VIEW explode(array(1)) t AS x GROUP BY 1", "SELECT sum(balance) OVER () FROM data", "WITH t AS (SELECT * FROM data) SELECT count(*) FROM t",
+    "SELECT sum(balance) FILTER (WHERE balance = 101) FROM data", "SELECT sum(CASE WHEN balance = 101 THEN balance END) FROM data", "SELECT max(if(balance = 101, balance, 0)) FROM data",
+    "SELECT count(*) FROM data HAVING percentile(balance, 1) > 0", "SELECT DISTINCT region FROM data", "SELECT max_by(region, balance) FROM data",
+]
+
+
+@pytest.mark.parametrize("sql", REFUSED_SQL)
+def test_sql_screen_refuses(people, sql):
     with pytest.raises(SafetyError):
-        guarded.check_sql(spark, sql)
+        guarded.run_sql(people.select("region", "balance"), sql, Policy())
 
 
 def test_sql_engine(people):
     view = people.select("region", "balance")
-    got = guarded.run_sql(view, "SELECT region, avg(balance) AS b, count(*) AS count FROM data WHERE balance > 101 GROUP BY region HAVING count(*) > 1 ORDER BY region LIMIT 5", Policy(min_group_size=5))
-    assert got["region"].tolist() == ["N", "S"]
-    with pytest.raises(SafetyError):
-        guarded.run_sql(view, "SELECT region, avg(balance) AS b FROM data GROUP BY region", Policy(min_group_size=5))
+    got = guarded.run_sql(view, "SELECT region, avg(balance) AS b FROM data d WHERE balance > 101 GROUP BY 1 HAVING count(*) > 1 ORDER BY region LIMIT 5", Policy(min_group_size=5))
+    assert got["region"].tolist() == ["N", "S"] and list(got.columns) == ["region", "b"]
     with pytest.raises(SafetyError):
         guarded.run_sql(view, "SELECT balance, count(*) AS count FROM data GROUP BY balance", Policy(max_result_rows=10))
     agent = Agent.strict(people, lambda p: "SELECT region, count(*) AS count FROM data GROUP BY region")
     assert not agent.ask("rows by region").blocked and "SELECT" not in agent.audit()
 
 
+def test_global_aggregates_are_answers(people):
+    view = people.select("region", "balance")
+    assert guarded.run_sql(view, "SELECT avg(balance) AS a, count(DISTINCT region) AS r FROM data", Policy(min_group_size=20)).values.tolist() == [[129.5, 2]]
+    for sql in ("SELECT avg(balance) FROM data WHERE balance = 101", "SELECT max(balance) FROM data WHERE balance < 110"):
+        assert guarded.run_sql(view, sql, Policy(min_group_size=20)).empty
+    with pytest.raises(SafetyError):
+        guarded.run_sql(view.limit(10), "SELECT avg(balance) FROM data", Policy(min_group_size=20))
+
+
+@pytest.mark.parametrize("profile", ["energy", "banking", "insurance", "healthcare", "strict"])
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT balance, max(balance) AS b, 1000 AS count FROM data GROUP BY balance", "SELECT balance, max(balance) AS b, count(*) + 1000 AS count FROM data GROUP BY balance",
+        "SELECT max(balance) AS b, 1000 AS n FROM data WHERE balance = 105", "SELECT region, max(balance) AS b, count(*) AS count FROM data WHERE balance = 105 GROUP BY region",
+        "SELECT region, sum(balance) AS size FROM data WHERE balance < 103 GROUP BY region", "SELECT max(balance) AS b FROM (SELECT balance FROM data LIMIT 1)",
+        "SELECT max(b) AS b FROM (SELECT max(balance) AS b, 1000 AS count FROM data GROUP BY balance)", "SELECT region, max(b) AS count FROM (SELECT region, max(balance) AS b FROM data GROUP BY region, balance) GROUP BY region",
+    ],
+)
+def test_no_count_of_the_query_itself_is_trusted(people, profile, sql):
+    try:
+        got = guarded.run_sql(people.select("region", "balance"), sql, Policy.from_profile(profile))
+    except SafetyError:
+        return
+    assert got.empty
+
+
+def test_what_the_plan_engine_blocks_is_not_asked_of_sql(people):
+    small = '{"operation": "aggregate", "metrics": [{"column": "balance", "agg": "max"}], "filters": [{"column": "balance", "op": "==", "value": 105}]}'
+    sql = "SELECT region, max(balance) AS b, 1000 AS count FROM data GROUP BY region"
+    for profile in ("energy", "banking", "insurance", "healthcare", "strict"):
+        got = ask(people, "max balance by region", lambda p: small if "JSON" in p else sql, profile)
+        assert got.blocked and got.answer is None and got.engine == "plan"
+    assert ask(people, "max balance by region", lambda p: "no plan" if "JSON" in p else sql, "general").engine == "sql"
+
+
 @pytest.mark.parametrize("code", ["import os\nresult = 1", "result = open('x')", "result = df.to_csv()", "result = df.__class__", "result = getattr(df, 'x')", "result = eval('1')", "result = df.values.tolist()", "while True: pass", "result = df['email']", "x ="])
 def test_python_screen_refuses(code):
     assert guarded.check_code(code, ["email"])
 
 
+def test_python_answers_keep_the_least_group_size(people):
+    frame = people.select("region", "balance").toPandas()
+    policy = Policy(min_group_size=10)
+    sizes = frame.groupby("region").agg(b=("balance", "max"), count=("balance", "size")).reset_index()
+    assert len(guarded.check_answer(sizes, frame, policy)) == 2 and guarded.check_answer(7, frame, policy) == 7
+    forged = frame.assign(count=1000).drop_duplicates("balance")[["balance", "count"]].head(5)
+    assert guarded.check_answer(forged, frame, policy).empty
+    for answer in ({"a": 1, "b": 2}, [1, 2], frame["balance"].head(3), frame.groupby("region")["balance"].max(), sizes.drop(columns="count")):
+        with pytest.raises(SafetyError):
+            guarded.check_answer(answer, frame, policy)
+    with pytest.raises(SafetyError):
+        guarded.check_answer(7, frame.head(5), policy)
+
+
+def test_python_may_not_name_columns_outside_the_view(people):
+    got = guarded.safe_python(people, "balance by region", lambda p: "result = df['email'].nunique()", Policy())
+    assert got.blocked and "email" in got.reason
+
+
+def test_wrap():
+    assert guarded.wrap(lambda p: "Here:\n```sql\nSELECT 1\n```")("x") == "SELECT 1"
+    for bad in (lambda p: None, lambda p: 1 / 0, lambda p: "  "):
+        with pytest.raises(ModelError):
+            guarded.wrap(bad)("x")
+    with pytest.raises(TypeError):
+        guarded.wrap("no function")
+
+
 def test_python_engine(people):
     view = people.select("region", "balance")
     assert guarded.run_python(view, "result = df['balance'].sum()", Policy()) == sum(range(100, 160))
@@ -211,6 +299,13 @@ def test_leak_test(people):
     assert got.score == 100 and got.risk_level == "low"
 
 
+def test_attacks_name_the_frames_own_columns(people):
+    questions = attacks_on(people)
+    assert any("balance" in q for q in questions) and any("email" in q or "account_number" in q for q in questions) and len(set(questions)) == len(questions)
+    sql = next(q for q in attacks_on(people, ("sql",)))
+    assert leak_test(people, lambda p: sql, Policy.from_profile("banking"), mode="sql", attacks=["x"]).score == 100
+
+
 def test_isolation_never_gets_weaker(people):
     import shutil
 
