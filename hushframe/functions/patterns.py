@@ -43,9 +43,20 @@ def normalize_category(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), _UNICODE + r"[\s._\-]+", "")
 
 
+#: A character without which a pattern cannot match; cells that lack it are spared the pattern.
+_NEEDS = {"EMAIL": "@", "SSN": "-", "IP": "."}
+
+
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once, however often ``f`` uses it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def has_pii(c: Column, label: str) -> Column:
     """Whether a cell holds the pattern; a phone needs ten digits and no date or time in the cell."""
     hit = matches(c, PII[label])
+    if label in _NEEDS:
+        hit = c.contains(_NEEDS[label]) & hit
     if label != "PHONE":
         return hit
     digits = F.length(F.regexp_replace(c, _UNICODE + r"\D", ""))
@@ -58,15 +69,6 @@ def luhn_ok(c: Column) -> Column:
     return F.coalesce(F.length(digits).between(13, 19) & F.call_function("luhn_check", digits), F.lit(False))
 
 
-#: A character without which a pattern cannot match; cells that lack it are spared the pattern.
-_NEEDS = {"EMAIL": "@", "SSN": "-", "IP": "."}
-
-
-def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(c)`` with ``c`` computed once, however often ``f`` uses it."""
-    return F.transform(F.array(c), f)[0]
-
-
 def _replaced(label: str) -> Callable[[Column], Column]:
     def step(x: Column) -> Column:
         possible = x.contains(_NEEDS[label]) if label in _NEEDS else x.rlike(r"\d[ -]?\d[ -]?\d")
@@ -78,7 +80,7 @@ def _replaced(label: str) -> Callable[[Column], Column]:
 def redact_before_phone(c: Column) -> Column:
     """Cells with emails, cards, social security numbers and addresses of computers replaced, in this order."""
     for label in ("EMAIL", "CARD", "SSN", "IP"):
-        c = _bound(c, _replaced(label))
+        c = bound(c, _replaced(label))
     return c
 
 
@@ -93,7 +95,7 @@ def _redact_phones(c: Column) -> Column:
 
 def redact(c: Column) -> Column:
     """All five patterns replaced by their labels, without Python."""
-    return _bound(redact_before_phone(c), lambda x: F.when(matches(x, PII["PHONE"]), _redact_phones(x)).otherwise(x))
+    return bound(redact_before_phone(c), lambda x: F.when(matches(x, PII["PHONE"]), _redact_phones(x)).otherwise(x))
 
 
 _compiled = {k: re.compile(v) for k, v in PII.items()}

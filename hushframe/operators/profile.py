@@ -145,7 +145,9 @@ def _distinct(df: DataFrame) -> dict[tuple[str, str], int]:
     if not wanted:
         return {}
     # two hashes with different seeds: 128 bits
-    digest = lambda i, c: F.when(c.isNotNull(), F.struct(F.lit(i).alias("i"), F.xxhash64(c).alias("a"), F.xxhash64(F.lit(0x5EED), c).alias("b")))
+    def digest(i: int, c: Column) -> Column:
+        return P.bound(c, lambda x: F.when(x.isNotNull(), F.struct(F.lit(i).alias("i"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(0x5EED), x).alias("b"))))
+
     rows = df.select(F.inline(F.filter(F.array(*[digest(i, c) for i, (_, _, c) in enumerate(wanted)]), lambda x: x.isNotNull())))
     counts = {r["i"]: r["n"] for r in rows.distinct().groupBy("i").agg(F.count("*").alias("n")).collect()}
     return {(n, attr): counts.get(i, 0) for i, (n, attr, _) in enumerate(wanted)}
