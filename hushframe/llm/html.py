@@ -1,15 +1,19 @@
 """Operator 3: main text of web pages from flat text blocks and a decision tree.
 
-A page is read as a stream of tags and text, forgiving unclosed and stray tags.  Block-level tags cut the text
-into flat blocks; each block is described by its words and link density, those of its neighbours, and what
-encloses it.  A decision tree, trained on the small labelled table below, tells main text from the rest.
+A page is read once, left to right, by the rules browsers use for broken markup: raw-text elements end at their own end tag
+only, comments where the standard ends them, stray end tags are ignored, and a paragraph ends where the next block begins.
+Block-level tags cut the text into flat blocks.  Each block is described by its number of words and its link density, by
+those of the blocks before and after it, and by what encloses it.  A decision tree tells main text from the rest; it is
+trained on the small labelled table that ``labelled`` lays out from page layouts: with and without semantic elements, with
+and without telling class names, so words and links of the neighbours decide where names tell nothing.
 """
 
 from __future__ import annotations
 
-import html as _html
+import random
 import re
 from functools import cache
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -20,205 +24,401 @@ from hushframe.llm.kit import map_batches
 from hushframe.llm.trees import Nodes, decision_tree
 
 _names = lambda s: frozenset(s.split())
-#: Kinds of elements, and words of class, id and role that mark what is not the article.
-SKIPPED = _names("script style noscript template svg math iframe object head title canvas audio video select textarea option button datalist map")
+#: Kinds of elements, and words of class, id and role that hint at what is not the article.
+RAW = _names("script style textarea title xmp iframe noembed noframes")
+HIDDEN = _names("noscript template svg math object head canvas audio video select option button datalist map")
 VOID = _names("area base br col embed hr img input link meta param source track wbr")
 INLINE = _names("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr")
+#: Elements that leave the text around them one block.
+UNBROKEN = INLINE | HIDDEN | RAW
+BLOCKS = _names("address article aside blockquote center details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul")
 FURNITURE = _names("nav footer aside form menu dialog fieldset address")
-MARKS = _names(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion promoted cookie cookies consent gdpr privacy notice notices "
-    "notification alert popup modal overlay newsletter subscribe subscription signup login signin register sidebar sidenav aside rail widget widgets related recommended "
-    "recommendations recommend more trending popular share sharing social follow nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc footer foot "
-    "header masthead topbar toolbar site-header comment comments commentlist reply replies respond discussion disqus form search tags taglist skip skiplink paywall "
-    "copyright legal disclaimer contentinfo complementary dialog hidden"
+HINTS = _names(
+    "ad ads advert advertisement banner sponsor promo cookie cookies consent privacy notice popup modal overlay newsletter subscribe login sidebar widget related recommended "
+    "trending share social nav navbar navigation menu breadcrumb breadcrumbs pagination toc footer header masthead toolbar comment comments reply replies discussion search tags "
+    "copyright contentinfo complementary sidenav advertising sponsored promoted notification alert signup signin register popular follow pager topbar respond disqus form"
 )
 REMARKS = _names("comment comments commentlist reply replies respond discussion disqus")
-TITLES = _names("post article entry story title content")
+OWN = _names("post article entry story title content")
 LAYOUT = _names("with has no without layout")
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "marked", "article", "heading", "item")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "hinted", "article", "heading", "item")
 
-_token = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
-_attr = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_attribute = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(\s*=\s*)?")
+_bare = re.compile(r"[^\s>]*")
+_hiding = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _cut = re.compile(r"[^a-z0-9]+")
+#: Element names that end where a like one begins, unless one of the others stands between.
+_SIBLINGS = {"li": _names("ul ol menu"), "dt": _names("dl"), "dd": _names("dl"), "tr": _names("table"), "td": _names("table tr"), "th": _names("table tr"), "option": _names("select")}
+_ALSO = {"dt": ("dd",), "dd": ("dt",), "td": ("th",), "th": ("td",)}
+
+
+class Reader:
+    """Tags and text of a page in one pass; every character is looked at a bounded number of times."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.missing = page, set()
+
+    def _find(self, what: str, at: int) -> int:
+        """``page.find``, remembering what does not occur any more."""
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def events(self):
+        """``("text", text)``, ``("start", name, attributes, self_closed)`` and ``("end", name)``."""
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            lt = self._find("<", at)
+            if lt < 0:
+                yield "text", page[at:]
+                return
+            after = page[lt + 1 : lt + 2]
+            if after.isascii() and after.isalpha():
+                if lt > at:
+                    yield "text", page[at:lt]
+                name, attrs, closed, at = self._start(lt + 1)
+                yield "start", name, attrs, closed
+                if name in RAW and not closed:
+                    at = self._raw_end(name, at)
+                    yield "end", name
+            elif after == "/" or after == "!" or after == "?":
+                if lt > at:
+                    yield "text", page[at:lt]
+                if after == "/" and page[lt + 2 : lt + 3].isascii() and page[lt + 2 : lt + 3].isalpha():
+                    end = self._close(lt)
+                    yield "end", re.split(r"[\s/>]", page[lt + 2 : min(end, lt + 66)], maxsplit=1)[0].lower()
+                    at = end
+                else:
+                    at = self._skip(lt)
+            else:  # a bare less-than sign
+                yield "text", page[at : lt + 1]
+                at = lt + 1
+
+    def _close(self, at: int) -> int:
+        end = self._find(">", at)
+        return len(self.page) if end < 0 else end + 1
+
+    def _skip(self, lt: int) -> int:
+        """Past a comment, a declaration or a stray ``</``."""
+        page = self.page
+        if page.startswith("<!--", lt):
+            for empty in (">", "->"):
+                if page.startswith(empty, lt + 4):
+                    return lt + 4 + len(empty)
+            ends = [e + len(mark) for mark in ("-->", "--!>") if (e := self._find(mark, lt + 4)) >= 0]
+            return min(ends, default=len(page))
+        if page.startswith("<![CDATA[", lt) and (end := self._find("]]>", lt)) >= 0:
+            return end + 3
+        return self._close(lt)
+
+    def _start(self, at: int) -> tuple[str, dict[str, str], bool, int]:
+        """Name, attributes, whether the tag closes itself, and where it ends."""
+        page, n, begin = self.page, len(self.page), at
+        while at < n and page[at] not in " \t\r\n\f/>":
+            at += 1
+        name, attrs = page[begin:at].lower(), {}
+        while at < n and page[at] != ">":
+            m = _attribute.match(page, at)
+            if m is None:
+                at += 1
+                continue
+            at = m.end()
+            value = ""
+            if m[2]:
+                quote = page[at : at + 1]
+                end = self._find(quote, at + 1) if quote in ('"', "'") else -1
+                if end >= 0:
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    value = _bare.match(page, at)[0]
+                    at += len(value)
+            attrs.setdefault(m[1].lower(), value)
+        return name, attrs, page[at - 1 : at] == "/" and name not in RAW, min(at + 1, n)
+
+    def _raw_end(self, name: str, at: int) -> int:
+        """Past the end tag of a raw-text element, whatever stands before it; the page's end without one."""
+        found = _raw_ends(name).search(self.page, at)
+        return len(self.page) if found is None else self._close(found.start())
 
 
-def _traits(name: str, attrs: str, inside: bool) -> tuple[bool, bool, bool, bool]:
-    """(furniture, marked, article, hidden) that an element adds to its contents."""
-    furniture, marked, article, hidden = name in FURNITURE or (name == "header" and not inside), False, name in ("article", "main"), False
-    if attrs:
-        for key, value in _attr.findall(attrs):
-            key, value = key.lower(), value.strip("\"'").lower()
-            if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                hidden = True
-            elif key in ("class", "id", "role") and name not in ("html", "body"):
-                tokens = set(_cut.split(value))
-                if tokens & TITLES:
-                    tokens -= {"header"}  # the article's own
-                if tokens & LAYOUT:
-                    tokens -= MARKS  # says what stands beside it
-                marked |= bool(tokens & (REMARKS if name in ("article", "main") else MARKS))
-                furniture |= key == "role" and bool(tokens & {"navigation", "banner", "search"})
-                article |= key == "role" and bool(tokens & {"main", "article"})
-    return furniture, marked, article, hidden
-
-
-class _Block:
-    __slots__ = ("parts", "linked", "furniture", "marked", "article", "heading", "item", "label")
+@cache
+def _raw_ends(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])", re.I)
+
+
+def _traits(name: str, attrs: dict[str, str], inside: bool) -> tuple[int, ...]:
+    """What an element adds to its contents: (furniture, hinted, article, hidden, link, heading, item, main)."""
+    furniture, hinted, article = name in FURNITURE or (name == "header" and not inside), False, name in ("article", "main")
+    hidden = name in HIDDEN or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(_hiding.search(attrs.get("style", "").lower()))
+    if name not in ("html", "body"):
+        for key in ("class", "id", "role"):
+            if not (value := attrs.get(key)):
+                continue
+            said = set(_cut.split(value.lower()))
+            if said & OWN:
+                said -= {"header", "footer"}  # the article's own
+            if said & LAYOUT:
+                said -= HINTS  # says what stands beside it
+            hinted |= bool(said & (REMARKS if name in ("article", "main") else HINTS))
+            if key == "role":
+                furniture |= bool(said & {"navigation", "banner", "search"})
+                article |= bool(said & {"main", "article"})
+    heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
+    item = name in ("li", "td", "th", "dt", "dd", "figcaption")
+    return tuple(map(int, (furniture, hinted, article, hidden, name == "a" and "href" in attrs, heading, item, "data-main" in attrs)))
+
+
+class Block:
+    """Text between two block-level tags, and what encloses its first word."""
+
+    __slots__ = ("text", "linked", "furniture", "hinted", "article", "heading", "item", "main")
+
+    def __init__(self, text: str, linked: int, around: list[int]) -> None:
+        self.text, self.linked = text, linked
+        self.furniture, self.hinted, self.article, _, _, self.heading, self.item, self.main = (x > 0 for x in around)
+
+
+class _Stack:
+    """Open elements, and the sum of their traits."""
 
     def __init__(self) -> None:
-        self.parts, self.linked = [], 0
-        self.furniture = self.marked = self.article = self.heading = self.item = self.label = False
-
-
-def blocks_of(page: str) -> list[tuple[str, int, _Block]]:
-    """(text, linked characters, block) for every block with text, in page order."""
-    stack: list[tuple[str, tuple]] = []
-    out, block, at, breaks = [], _Block(), 0, 0
-    furniture = marked = article = hidden = links = headings = items = skip = labels = 0
-    skipping = ""
-
-    def close() -> None:
-        nonlocal block, breaks
-        breaks = 0
-        if block.parts:
-            text = " ".join(_html.unescape("".join(block.parts)).split())
-            if text:
-                out.append((text, block.linked, block))
-            block = _Block()
-
-    def text(raw: str) -> None:
-        nonlocal breaks
-        if hidden or skip or not raw:
+        self.items: list[tuple[str, tuple[int, ...]]] = []
+        self.open: dict[str, int] = {}
+        self.sum = [0] * 8
+
+    def push(self, name: str, traits: tuple[int, ...]) -> None:
+        self.items.append((name, traits))
+        self.open[name] = self.open.get(name, 0) + 1
+        self.sum = [a + b for a, b in zip(self.sum, traits, strict=True)]
+
+    def close(self, name: str) -> None:
+        """Pop up to the nearest element of this name; nothing if there is none."""
+        if not self.open.get(name):
             return
-        if not raw.isspace():
-            if not block.parts or not any(not p.isspace() for p in block.parts):
-                block.furniture, block.marked, block.article, block.heading, block.item, block.label = furniture > 0, marked > 0, article > 0, headings > 0, items > 0, labels > 0
-            if links:
-                block.linked += len(raw.strip())
-            breaks = 0
-        block.parts.append(raw)
-
-    for m in _token.finditer(page):
-        if not skipping:
-            text(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        while True:
+            top, traits = self.items.pop()
+            self.open[top] -= 1
+            self.sum = [a - b for a, b in zip(self.sum, traits, strict=True)]
+            if top == name:
+                return
+
+    def begin(self, name: str) -> None:
+        """Close what the start of ``name`` ends without an end tag."""
+        if name in BLOCKS:
+            for left_open in ("button", "select"):  # no block belongs there
+                self.close(left_open)
+            if self.open.get("p") and self._near("p", stop=lambda x: x not in INLINE):
+                self.close("p")
+        if name == "a" and not self.sum[3]:
+            self.close("a")
+        if name in _SIBLINGS:
+            for like in (name, *_ALSO.get(name, ())):
+                if self.open.get(like) and self._near(like, stop=lambda x: x in _SIBLINGS[name] or x in HIDDEN):
+                    self.close(like)
+
+    def _near(self, name: str, stop) -> bool:
+        for x, _ in reversed(self.items):
+            if x == name:
+                return True
+            if stop(x):
+                return False
+        return False
+
+
+def blocks_of(page: str) -> list[Block]:
+    """The blocks with text, in page order."""
+    out, stack = [], _Stack()
+    parts: list[str] = []
+    around: list[int] | None = None
+    linked = breaks = 0
+
+    def cut() -> None:
+        nonlocal parts, around, linked, breaks
+        if around is not None:
+            out.append(Block(" ".join("".join(parts).split()), linked, around))
+        parts, around, linked, breaks = [], None, 0, 0
+
+    for kind, *what in Reader(page).events():
+        if kind == "text":
+            if stack.sum[3]:
+                continue
+            text = unescape(what[0])
+            if text.strip():
+                around = stack.sum if around is None else around
+                if stack.sum[4]:
+                    linked += len(text.strip())
+                breaks = 0
+            parts.append(text)
             continue
-        name, closing, attrs = name.lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
-        if skipping:
-            if closing and name == skipping:
-                skipping, skip = "", skip - 1
-            continue
-        if name == "br":
+        name = what[0]
+        if name == "br" and kind == "start":
             breaks += 1
             if breaks > 1:
-                close()
+                cut()
             else:
-                block.parts.append(" ")
-            continue
-        if name not in INLINE:
-            close()
-        if closing:
-            if any(n == name for n, _ in stack):
-                while True:
-                    n, t = stack.pop()
-                    furniture, marked, article, hidden, links, headings, items, labels = (x - y for x, y in zip((furniture, marked, article, hidden, links, headings, items, labels), t, strict=True))
-                    if n == name:
-                        break
-            continue
-        if name in VOID or attrs.endswith("/"):
+                parts.append(" ")
             continue
-        if name in ("script", "style", "title", "textarea", "noscript", "svg", "template", "iframe", "select", "canvas", "math", "object", "button", "audio", "video"):
-            skipping, skip = name, skip + 1
-            continue
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-            n, t = stack.pop()  # its end tag may be left out
-            furniture, marked, article, hidden, links, headings, items, labels = (x - y for x, y in zip((furniture, marked, article, hidden, links, headings, items, labels), t, strict=True))
-        f, k, a, h = _traits(name, attrs, article > 0)
-        t = (int(f), int(k), int(a), int(h or name in SKIPPED), int(name == "a"), int(len(name) == 2 and name[0] == "h" and name[1].isdigit()), int(name in ("li", "td", "th", "dt", "dd", "figcaption")), int("data-main" in attrs))
-        furniture, marked, article, hidden, links, headings, items, labels = (x + y for x, y in zip((furniture, marked, article, hidden, links, headings, items, labels), t, strict=True))
-        stack.append((name, t))
-    if not skipping:
-        text(page[at:])
-    close()
+        hidden = stack.sum[3]
+        if kind == "end":
+            stack.close(name)
+        else:
+            stack.begin(name)
+        if name not in UNBROKEN and not (hidden and stack.sum[3]):  # what is not shown cuts nothing
+            cut()
+        if kind == "start" and name not in VOID and not what[2]:
+            stack.push(name, (0, 0, 0, 1, 0, 0, 0, 0) if name in RAW else _traits(name, what[1], stack.sum[2] > 0))
+    cut()
     return out
 
 
-def features(blocks: list[tuple[str, int, _Block]]) -> np.ndarray:
-    words = np.array([min(t.count(" ") + 1, 400) for t, _, _ in blocks], float)
-    links = np.array([min(1.0, n / max(len(t), 1)) for t, n, _ in blocks])
+def features(blocks: list[Block]) -> np.ndarray:
+    """One row for each block; the neighbours of the first and last block are empty."""
+    words = np.array([b.text.count(" ") + 1 for b in blocks], float)
+    links = np.array([min(1.0, b.linked / len(b.text)) for b in blocks])
     before, after = (lambda v: np.r_[0.0, v[:-1]]), (lambda v: np.r_[v[1:], 0.0])
-    own = [np.array([getattr(b, k) for _, _, b in blocks], float) for k in ("furniture", "marked", "article", "heading", "item")]
-    page = own[2].max(initial=0.0)  # pages without an article element: 0.5 for all blocks
-    own[2] = own[2] if page else np.full(len(blocks), 0.5)
+    own = [np.array([getattr(b, k) for b in blocks], float) for k in FEATURES[6:]]
+    if not own[2].any():  # a page without an article element: neither inside nor outside
+        own[2] = np.full(len(blocks), 0.5)
     return np.stack([words, links, before(words), before(links), after(words), after(links), *own], axis=1)
 
 
-_W = "word several other plain words follow here and make this sentence long enough to read as prose of an article today".split()
-
-
-def _prose(n: int) -> str:
-    return " ".join(_W[i % len(_W)] for i in range(n)) + "."
+class _Layouts:
+    """Pages for the labelled table.  Blocks of main text carry ``data-main``."""
+
+    def __init__(self, seed: int) -> None:
+        self.rng = random.Random(seed)
+
+    def words(self, n: int) -> str:
+        return " ".join("w" * self.rng.randint(2, 9) for _ in range(n))
+
+    def link(self, n: int) -> str:
+        return f"<a href=x>{self.words(n)}</a>"
+
+    def menu(self, n: int) -> str:
+        form = self.rng.choice(("list", "row", "divs"))
+        items = [self.link(self.rng.randint(1, 3)) for _ in range(n)]
+        if form == "list":
+            return "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>"
+        return "<p>" + " | ".join(items) + "</p>" if form == "row" else "".join(f"<div>{i}</div>" for i in items)
+
+    def main(self, whole: bool) -> list[str]:
+        """A heading and paragraphs; ``whole`` pages (with an article element) also have short ones and lists at the ends."""
+        r = self.rng
+        out = [f"<h1 data-main>{self.words(r.randint(1, 12))}</h1>"]
+        for _ in range(r.randint(3, 9)):
+            kind = r.random()
+            if kind < 0.5 or len(out) == 1 and not whole:
+                out.append(f"<p data-main>{self.words(r.choice((r.randint(15, 140), r.randint(100, 600))))}</p>")
+            elif kind < 0.62:  # short ones; a plain page has a long one beside them
+                short, long = f"<p data-main>{self.words(r.randint(1, 9))}</p>", f"<p data-main>{self.words(r.randint(20, 60))}</p>"
+                out.append(short if whole else r.choice((short + long, long + short + long)))
+            elif kind < 0.74:  # rich in links, but prose
+                out.append(f"<p data-main>{' '.join(self.words(r.randint(5, 9)) + ' ' + self.link(r.randint(2, 5)) for _ in range(r.randint(2, 6)))}</p>")
+            elif kind < 0.84:
+                out.append(f"<h2 data-main>{self.words(r.randint(1, 7))}</h2><p data-main>{self.words(r.randint(18, 70))}</p>")
+            elif kind < 0.92:
+                least = 1 if whole else 10
+                out.append("<ul>" + "".join(f"<li data-main>{self.words(r.randint(least, 16))}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
+            else:
+                out.append(f"<blockquote data-main>{self.words(r.randint(12, 40))}</blockquote>")
+        if not whole:
+            out.append(f"<p data-main>{self.words(r.randint(18, 80))}</p>")
+        return out
+
+    def side(self, name: str, n: int) -> str:
+        """What is not main, in an element that its class names, or (``name`` empty) in a plain one."""
+        r = self.rng
+        body = "".join(r.choice((self.menu(r.randint(2, 6)), f"<p>{self.words(n)}</p>", f"<div>{self.words(max(1, n // 3))}</div>")) for _ in range(r.randint(1, 3)))
+        return f"<div class='{name}'>{body}</div>" if name else f"<div>{body}</div>"
+
+    def page(self) -> str:
+        r = self.rng
+        kind = r.choice(("semantic", "article", "classes", "plain", "plain"))
+        whole = kind in ("semantic", "article")
+        body = self.main(whole)
+        names = ("sidebar", "ad", "comments", "related", "cookie notice", "share", "newsletter")
+        if kind != "plain":
+            for _ in range(r.randint(0, 2)):  # advertisements and the like between the paragraphs
+                body.insert(r.randint(1, len(body)), self.side(r.choice(names), r.randint(2, 60)))
+            if r.random() < 0.4:
+                body.append(self.menu(r.randint(3, 6)) if not whole else f"<div class=tags>{self.menu(3)}</div>")
+        if whole:  # elements that are never main, inside the article
+            for _ in range(r.randint(0, 2)):
+                tag = r.choice(("aside", "form", "nav", "footer"))
+                body.insert(r.randint(1, len(body)), f"<{tag}><p>{self.words(r.randint(1, 70))}</p></{tag}>")
+        if kind == "semantic":
+            tail = [f"<aside>{self.side('', r.randint(3, 60))}</aside>", f"<footer><p>{self.words(r.randint(2, 50))}</p></footer>", f"<form><p>{self.words(r.randint(1, 30))}</p></form>", f"<section class=comments><article class=comment><p>{self.words(r.randint(3, 90))}</p></article></section>"]
+            r.shuffle(tail)
+            own = f"<header class=entry-header>{body[0]}</header>" + "".join(body[1:])
+            return f"<header><h1>{self.words(2)}</h1><nav>{self.menu(5)}</nav></header><main>{own}</main>{''.join(tail)}"
+        if kind == "article":  # what stands outside is not main, even if nothing names it
+            around = lambda: "".join(r.choice((self.menu(4), f"<div>{self.words(r.randint(1, 70))}</div>", self.side(r.choice(names), 20), f"<h3>{self.words(3)}</h3>")) for _ in range(r.randint(1, 4)))
+            return f"{around()}<article>{''.join(body)}</article>{around()}"
+        if kind == "classes":
+            return f"<div class=header><div>{self.words(3)}</div></div><div class=menu>{self.menu(6)}</div><div id=content>{''.join(body)}</div>{self.side('sidebar', 40)}{self.side('comments', 60)}<div class=footer><p>{self.words(r.randint(2, 30))}</p></div>"
+        # nothing is named: menus, a line above the title, rows of contact data, headings of link lists
+        short = lambda: r.choice((f"<div>{self.words(r.randint(1, 6))}</div>", "", f"<h3>{self.words(2)}</h3>{self.menu(3)}"))
+        cells = "".join(f"<li>{self.words(r.randint(1, 9))}</li>" for _ in range(r.randint(2, 7)))
+        foot = [f"<h3>{self.words(2)}</h3>{self.menu(r.randint(2, 6))}", f"{self.menu(2)}<div>{self.words(r.randint(2, 9))}</div>{self.menu(2)}", f"<ul>{cells}</ul>"]
+        r.shuffle(foot)
+        foot.append(f"{self.menu(2)}<div>{self.words(r.randint(1, 12))}</div>" * r.randint(0, 1))
+        if r.random() < 0.35:  # a page with little else, or little at all
+            few = body if r.random() < 0.5 else [f"<h1 data-main>{self.words(r.randint(1, 4))}</h1>"] * r.randint(0, 1) + [f"<p data-main>{self.words(r.randint(2, 12))}</p>"] * r.randint(1, 3)
+            return r.choice(("", self.side("header", 2), self.side("comments", 40))) + "".join(few)
+        return f"{short()}{self.menu(r.randint(3, 8))}{short()}{''.join(body)}{self.menu(r.randint(2, 6))}{''.join(foot)}"
+
+
+#: Pages of the labelled table, and what fixes their layouts.
+PAGES, SEED = 800, 3
 
 
-def _menu(n: int) -> str:
-    return "<ul>" + "".join(f'<li><a href="/{i}">Section {i}</a></li>' for i in range(n)) + "</ul>"
+@cache
+def labelled(pages: int = PAGES, seed: int = SEED) -> tuple[str, ...]:
+    """The labelled table."""
+    layouts = _Layouts(seed)
+    return tuple(layouts.page() for _ in range(pages))
 
 
-@cache
-def labelled() -> tuple[str, ...]:
-    """The labelled table: pages of common shapes whose main blocks carry ``data-main``."""
-    p = lambda n: f"<p data-main>{_prose(n)}</p>"
-    o = lambda n: f"<p>{_prose(n)}</p>"
-    return (
-        f"<nav>{_menu(6)}</nav><div class=ad>{_prose(8)}</div><article><h1 data-main>A title of words</h1>{p(40)}{p(3)}{p(1)}{p(80)}<ul><li data-main>an item of some words<li data-main>one</ul></article><footer>&copy; site &middot; {_prose(9)}</footer>",
-        f"<header><h1>Site name</h1>{_menu(4)}</header><main><h1 data-main>Title</h1>{p(60)}<h2 data-main>Part</h2>{p(30)}<p data-main>{_prose(12)}<a href=x>link to more words</a></p>{p(20)}</main><aside>{o(25)}{_menu(5)}</aside><footer>{o(14)}</footer>",
-        f"<div class=menu>{_menu(8)}</div><div id=content><h1 data-main>Some title here</h1>{p(50)}{p(35)}{p(6)}{p(70)}{p(2)}</div><div class=sidebar>{o(40)}{o(12)}</div><div class='comments'>{o(45)}{o(20)}</div><div class=footer>{o(20)}</div>",
-        f"<div>{_menu(7)}</div><div><h2 data-main>Title words</h2>{p(45)}{p(25)}{p(9)}{p(55)}</div><div class='cookie-notice'>{o(30)}<a href=x>accept</a></div><form>{o(10)}<label>Name</label></form><div>{_menu(3)}</div>",
-        f"<div role=banner>{o(6)}</div><div role=main><h1 data-main>Heading of page</h1>{p(33)}<blockquote data-main>{_prose(22)}</blockquote>{p(5)}{p(44)}</div><section id=comments><article class=comment>{o(60)}</article><article class=comment>{o(25)}</article></section>",
-        f"<article><h1 data-main>T</h1>{p(15)}<div class='advert'>{o(12)}</div>{p(30)}<div class='share social'><a href=x>Share this</a></div>{p(4)}<div class=related>{o(9)}{_menu(4)}</div></article>",
-        f"<div class=breadcrumbs><a href=/>Home</a> &gt; <a href=/x>News</a></div><div class=post><h1 data-main>Post title</h1>{p(28)}<pre data-main>some code of words here</pre><table><tr><td data-main>cell</td><td data-main>other cell</td></tr></table>{p(18)}</div><div class=newsletter>{o(15)}</div><div class=widget>{o(22)}</div>",
-        f"<p><a href=a>One</a> | <a href=b>Two</a> | <a href=c>Three</a></p><h1 data-main>Bare page</h1>{p(26)}{p(90)}{p(11)}<p><a href=a>Top of page</a></p>",
-        f"<div>{_prose(5)}</div><div>{_menu(3)}</div><article><h1 data-main>Title here</h1>{p(42)}{p(17)}{p(3)}</article><div>{_prose(12)}</div><div>{_prose(30)}</div><div>{_prose(3)}</div>",
-        f"<div>Site name</div><div><a href=a>One</a> <a href=b>Two</a></div><div>{_prose(3)}</div><div><a href=c>Three</a></div><article>{p(20)}{p(25)}</article><div>By the site, all rights reserved</div><div><a href=d>Four</a></div>",
-        f"<div><a href=a>One</a></div><div>Today</div><div><a href=b>Two</a></div><h1 data-main>Title of page</h1>{p(38)}{p(22)}<div><a href=c>Next</a></div><div>or</div><div><a href=d>Last</a></div>",
-        f"<main><article><h1 data-main>Name</h1>{p(7)}{p(8)}{p(2)}<h3 data-main>Sub</h3>{p(4)}</article></main><div class='popup modal'>{o(50)}</div><nav>{o(30)}</nav><aside>{o(70)}</aside><footer>{o(60)}</footer><form>{o(40)}</form>",
-    )
+def table_of(pages: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of all blocks of labelled pages."""
+    blocks = [blocks_of(p) for p in pages]
+    return np.concatenate([features(b) for b in blocks]), np.array([float(x.main) for b in blocks for x in b])
 
 
 @cache
 def model() -> Nodes:
-    x, y = [], []
-    for page in labelled():
-        blocks = blocks_of(page)
-        x.append(features(blocks))
-        y += [float(b.label) for _, _, b in blocks]
-    return decision_tree(np.concatenate(x), np.array(y), depth=7)
+    return decision_tree(*table_of(labelled()), depth=11, least=3)
 
 
 def main_text(page: str) -> str:
-    """Main blocks joined by newlines; empty if the page has none.  Marks count only where something is left without them."""
+    """Main blocks joined by newlines; empty if the page has none.  Hints count only where something is left without them."""
     blocks = blocks_of(page)
     if not blocks:
         return ""
     x = features(blocks)
     keep = model().score(x) >= 0.5
-    if not keep.any():  # a mark on what encloses everything tells nothing
-        x[:, FEATURES.index("marked")] = 0
+    if not keep.any():  # a hint on what encloses everything tells nothing
+        x[:, FEATURES.index("hinted")] = 0
         keep = model().score(x) >= 0.5
-    return "\n".join(t for (t, _, _), k in zip(blocks, keep, strict=True) if k)
+    return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` -> ``(page_id, url, text, n_chars, n_blocks)``, one row for each row.
 
-    A null or empty page, or one without main text, has an empty text; other columns are ignored; nothing is capped.
+    A null or empty page, or one without main text, has an empty text; repeated rows and rows with a null page_id or url give a
+    row each; an empty table gives an empty table; other columns are ignored, whatever their names; nothing is capped.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [main_text(x or "") for x in batch.column("html").to_pylist()]
         count = [0 if not t else t.count("\n") + 1 for t in texts]
-        return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(count, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_blocks"])
+        columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(count, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "n_blocks"])
 
-    return map_batches(pages.select("page_id", "url", F.col("html").cast("string").alias("html")), run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url {pages.schema['url'].dataType.simpleString()}, text string, n_chars long, n_blocks long")
+    kind = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+    schema = f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long, n_blocks long"
+    return map_batches(pages.select("page_id", "url", F.col("html").cast("string").alias("html")), run, schema)

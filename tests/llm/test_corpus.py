@@ -35,6 +35,8 @@ def test_rollup(spark, tmp_path, docs, odd, none):
     assert total() == after and not r.commit("b", change)
     r.commit("c", change.where("op = 'insert'"))
     r.compact()
+    r.vacuum()
+    assert not r.commit("a", feed)
     assert total()[("n", None, "v1")] == (2, 0)
     with pytest.raises(Exception, match="unknown op"):
         deltas(change.withColumn("op", F.lit("x"))).collect()
@@ -42,6 +44,56 @@ def test_rollup(spark, tmp_path, docs, odd, none):
         r.commit("../x", change)
 
 
+def test_commits_during_a_compaction_count_once(spark, tmp_path, monkeypatch):
+    """Every place where another writer may come between: before the compaction's entry, before a commit's, after a vacuum."""
+    one, two = Rollup(spark, str(tmp_path / "r")), Rollup(spark, str(tmp_path / "r"))
+    feed = lambda n: spark.createDataFrame([("insert", "s", "l", "v", n, None)], "op string, source string, lang string, tokenizer string, tokens long, old_tokens long")
+    total = lambda: [(r["docs"], r["tokens"]) for r in one.totals().collect()]
+    assert one.commit("a", feed(5))
+    claim = one._claim
+
+    def late(then):
+        def run(version, entry):
+            monkeypatch.setattr(one, "_claim", claim)
+            then()
+            return claim(version, entry)
+
+        monkeypatch.setattr(one, "_claim", run)
+
+    late(lambda: two.commit("b", feed(10)))
+    one.compact()
+    assert total() == [(2, 15)] and not one.commit("b", feed(10))
+    late(lambda: two.commit("c", feed(100)))
+    assert not one.commit("c", feed(100)) and total() == [(3, 115)]  # the same batch by two writers
+
+    def folded():
+        two.commit("d", feed(1000))
+        two.compact()
+        two.vacuum()
+
+    late(folded)
+    assert one.commit("e", feed(10_000)) and total() == [(5, 11_115)]  # its number was taken and vacuumed
+    for r in (one, two):
+        r.compact()
+        r.vacuum()
+    assert total() == [(5, 11_115)] and not any(one.commit(b, feed(1)) for b in "abcde")
+    assert one.commit("f", feed(1)) and total() == [(6, 11_116)]
+
+
+def test_token_versions_by_bpe(spark, tmp_path, docs):
+    from pyspark.sql import functions as F
+
+    from hushframe.llm import bpe
+    from hushframe.llm.queries import tokenizer
+
+    counted = docs.join(bpe.round_trip(docs, tokenizer()).select("doc_id", "n_tokens"), "doc_id")
+    r = Rollup(spark, str(tmp_path / "r"))
+    r.commit("bpe", inserts(counted, "byte_bpe_50k", F.col("n_tokens")))
+    got = {(x["source"], x["lang"]): x["tokens"] for x in r.totals().collect()}
+    want = counted.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n")).collect()
+    assert got == {(x["source"], x["lang"]): x["n"] for x in want}
+
+
 def reference_scores(rows):
     tokens = {i: [*WORD.findall((t or "").encode().lower()), b" "] for i, t in rows}
     c = collections.Counter()

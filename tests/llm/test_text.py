@@ -1,7 +1,10 @@
 """BPE, HTML, quality and toxicity."""
 
 import json
+import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -68,18 +71,78 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
-def test_pages(spark, sf):
-    import re
-    from html import unescape
+class Plain(HTMLParser):
+    """An independent reading: text in article, p and h1 elements, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.blocks[-1] += " " if tag == "br" else ""
+        if tag in ("p", "h1"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        if tag in ("p", "h1", "article"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.depth:
+            self.blocks[-1] += data
+
+
+def plain_text(page):
+    parser = Plain()
+    parser.feed(page)
+    return "\n".join(" ".join(b.split()) for b in parser.blocks if b.strip())
 
+
+def test_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r["page_id"]: r for r in html.extract(pages).collect()}
     for r in pages.collect():
-        body = re.search("<article>(.*?)</article>", r["html"], re.S)[1]
-        parts = [" ".join(unescape(re.sub("<[^>]+>", " ", x)).split()) for x in re.split("</?(?:p|h1)>", body)]
-        assert got[r["page_id"]]["text"] == "\n".join(p for p in parts if p) and got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
-    odd = spark.createDataFrame([(1, None, None), (None, "u", "<p>x y z"), (1, None, "<div " + "<" * 5000)], "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")
-    assert sorted(r["text"] for r in html.extract(odd).collect())[-1] == "x y z" and html.extract(odd.limit(0)).count() == 0
+        assert got[r["page_id"]]["text"] == plain_text(r["html"]) and got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
+    rows = [(1, None, None), (None, "u", "<p>x y z"), (1, None, "<div " + "<" * 5000), (1, None, "<div " + "<" * 5000)]
+    odd = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars", "3 as n_blocks")
+    out = html.extract(odd).collect()
+    assert len(out) == 4 and sorted(r["text"] for r in out)[-1] == "x y z" and html.extract(odd.limit(0)).count() == 0
+
+
+UNSEEN = ["<script>for(var i=0;i<n.length;i++){go(i)}</script>", "<SCRIPT>var s='</p><p>'; if (a</b/.x) {}</SCRIPT >", "<style>p > a::before{content:'<'}</style>", "<!-->", "<!--->", "<!-- <p>no</p> -->", "<!-- a > b -- c -->", "<!doctype html>", "<?php x ?>", "<img src=x alt='<p>'>", "<noscript><p>no</p></noscript>", "<template><p>no</p></template>", "<svg><text>no</text></svg>", "<textarea><p>no</textarea>", "</nosuch>", "<link rel='a>b'>"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from(UNSEEN), st.integers(0, 5), st.integers(0, 40))
+def test_what_is_not_shown_leaves_the_text_unchanged(junk, page, at):
+    """Inserted between any two tags of a labelled page."""
+    text = html.labelled()[page]
+    cuts = [m.start() for m in re.finditer("<(?=[a-z/])", text)]
+    place = cuts[at % len(cuts)]
+    assert html.main_text(text[:place] + junk + text[place:]) == html.main_text(text)
+
+
+def test_every_feature_is_used_and_unseen_layouts_are_read():
+    nodes = html.model()
+    inner = nodes.left != np.arange(len(nodes.left))
+    assert {html.FEATURES[j] for j in nodes.feature[inner]} == set(html.FEATURES)
+    x, y = html.table_of(html.labelled(200, seed=77))
+    assert ((nodes.score(x) >= 0.5) == y).mean() > 0.99
+
+
+def test_link_rich_paragraphs_and_unclosed_buttons():
+    rich = "<article><h1>Head line</h1><p>one two <a href=x>three four five</a> six seven</p><button>Share<p>eight nine ten eleven</p><p>twelve thirteen</p></article>"
+    assert html.main_text(rich) == "Head line\none two three four five six seven\neight nine ten eleven\ntwelve thirteen"
+    assert html.main_text("<article><p>a<a name=top>b c<p>d e f g</article>") == "ab c\nd e f g"
+
+
+@pytest.mark.parametrize("part", ["<div>", '<a "', "</p>", "<b>", "<", "<!--", "<p title='", "<script>", "<li>", "<ul><li>", "&amp", "</", "<a href=x>", "<td>"])
+def test_hostile_pages_take_linear_time(part):
+    start = time.process_time()
+    html.main_text(part * 60_000)
+    assert time.process_time() - start < 5
 
 
 def brute_stats(text):
