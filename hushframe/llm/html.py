@@ -261,12 +261,12 @@ def blocks_of(page: str) -> list[Block]:
             else:
                 parts.append(" ")
             continue
-        hidden = stack.sum[3]
+        hidden, stray = stack.sum[3], kind == "end" and not stack.open.get(name) and name not in BLOCKS
         if kind == "end":
             stack.close(name)
         else:
             stack.begin(name)
-        if name not in UNBROKEN and not (hidden and stack.sum[3]):  # what is not shown cuts nothing
+        if name not in UNBROKEN and not stray and not (hidden and stack.sum[3]):  # what is not shown cuts nothing
             cut()
         if kind == "start" and name not in VOID and not what[2]:
             stack.push(name, (0, 0, 0, 1, 0, 0, 0, 0) if name in RAW else _traits(name, what[1], stack.sum[2] > 0))
