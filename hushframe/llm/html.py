@@ -30,7 +30,7 @@ HIDDEN = _names("noscript template svg math object head canvas audio video selec
 VOID = _names("area base br col embed hr img input link meta param source track wbr")
 INLINE = _names("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr")
 #: Elements that leave the text around them one block.
-UNBROKEN = INLINE | HIDDEN | RAW
+UNBROKEN = INLINE | HIDDEN | RAW | (VOID - {"hr"})
 BLOCKS = _names("address article aside blockquote center details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul")
 FURNITURE = _names("nav footer aside form menu dialog fieldset address")
 HINTS = _names(
