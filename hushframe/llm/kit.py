@@ -9,6 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+#: Tables written in the running ``tables()`` block.
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
@@ -39,6 +45,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.table_path = path
+    if (made := _made.get()) is not None:
+        made.append(back)
     return back
 
 
@@ -49,6 +57,52 @@ def drop_table(df: DataFrame) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def tables() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Intermediate tables of the block are deleted at its end, but for those handed to the function it gives.
+
+    What is kept belongs to the block around it, if there is one.
+    """
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    token = _made.set(made)
+    try:
+        yield keep
+    finally:
+        _made.reset(token)
+        paths = {df.table_path for df in kept}
+        for df in made:
+            if df.table_path not in paths:
+                drop_table(df)
+        if (outer := _made.get()) is not None:
+            outer += kept
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` is called so (letters' case aside)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``rows`` joined with ``one`` (a row for each key), without all rows of a frequent key in one task.
+
+    ``hot`` is the part of ``one`` whose keys have many rows; the caller bounds its size, so it is broadcast.
+    """
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(one, key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="session")
@@ -16,8 +17,9 @@ def odd(spark):
         (5, " \n\t ", "de", "b"), (6, long, "en", "a"), (7, "z" * 5000, "en", "c"), (8, "é ü\x85x \x1c y", "fr", "c"), (None, None, None, None),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    for extra in ("key", "node", "fp", "h", "kept", "score", "batch", "item", "n"):
-        df = df.selectExpr("*", f"'x' as {extra}")
+    names = "key node fp h kept score batch item n doc rows picked bad row own _doc _rows _bad _spans _keepers _words_cut spans keepers words_cut first root".split()
+    for extra in names:
+        df = df.withColumn(extra, F.lit("x"))
     return df
 
 
