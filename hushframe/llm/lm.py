@@ -26,9 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.kit import mix, runs, table
+from hushframe.llm.kit import mix, partitions, runs, table, tables
 
 FOLDS, DELETED, BATCH, RANGE = 10, 1, 400_000, 500_000
+#: Tasks of the counting shuffle for each shuffle partition of the session, at most.
+TASKS = 16
 _END = b" "  # no word holds a space
 _BITS = 46  # of a word pair's hash
 _BIN, _LOW, _BINS = 0.02, -8.0, 1000
@@ -196,7 +198,8 @@ def totals(coded: DataFrame, order: int, entries: int) -> DataFrame:
                 )
 
     sent = coded.mapInArrow(send, "range long, batch long, kind int, keys binary, counts binary")
-    dealt = sent.repartition(1 << bits, "range").sortWithinPartitions("range", "batch")
+    # a task streams several ranges, one after the other
+    dealt = sent.repartition(min(1 << bits, TASKS * partitions(coded.sparkSession)), "range").sortWithinPartitions("range", "batch")
     return table(dealt.mapInArrow(add, "batch long, range long, kind int, train binary, deleted binary, own_new long, own_sum long, own_deleted long"), f"totals{order}")
 
 
@@ -257,6 +260,11 @@ def score(docs: DataFrame) -> DataFrame:
     Null and empty texts hold the end alone; rows with a null doc_id fall into the fold of the empty text; copies and
     repeated rows count and are scored each; other columns are ignored; an empty table gives an empty table.
     """
+    with tables() as keep:
+        return keep(table(_scored(docs), "scores"))
+
+
+def _scored(docs: DataFrame) -> DataFrame:
     coded = table(encode(docs), "coded")
     tokens, words = coded.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.octet_length("vocab") / 6)).first()
     one = totals(coded, 1, int(words or 0))

@@ -7,6 +7,8 @@ lines, repeated words or upper case never raise the score (monotonic constraints
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +45,7 @@ def statistics(text: bytes) -> tuple[tuple[int, int, int, int, int], list[float]
     ids: dict[bytes, int] = {}
     for w in words:
         ids[w] = ids.get(w, 0) + 1
-    letters = len(joined) - len(joined.translate(None, _ASCII_LETTERS)) + len(joined) - len(joined.translate(None, _LEADS))
+    letters = n_letters(joined)
     upper = len(joined) - len(joined.translate(None, _ASCII_UPPER))
     d, c = max(n, 1), max(chars, 1)
     x = [
@@ -56,8 +58,15 @@ def statistics(text: bytes) -> tuple[tuple[int, int, int, int, int], list[float]
 
 _ASCII_UPPER = bytes(range(65, 91))
 _ASCII_LETTERS = _ASCII_UPPER + bytes(range(97, 123))
-_LEADS = bytes(range(0xC3, 0xF5))
+_ASCII = bytes(range(0x80))
 _CONT = bytes(range(0x80, 0xC0))
+_no_letters = re.compile(r"[\W\d_]+")
+
+
+def n_letters(raw: bytes) -> int:
+    """Letters of any script in UTF-8 bytes; only what is not ASCII is decoded."""
+    wide = raw.translate(None, _ASCII)
+    return len(raw) - len(raw.translate(None, _ASCII_LETTERS)) + (len(_no_letters.sub("", wide.decode())) if wide else 0)
 
 
 def n_chars(raw: bytes) -> int:
@@ -137,7 +146,11 @@ def assess(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample: int =
 
 
 def keep_rows(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns unchanged; decided row by row, so nothing is joined."""
+    """The rows of ``docs`` that the rules keep, all columns unchanged; decided row by row, so nothing is joined.
+
+    Null and empty texts fail the base rules and go; rows with a null doc_id are judged like any other; repeated rows share one
+    fate; columns may have any names; an empty table gives an empty table; without labels the base rules alone decide.
+    """
     model = learn(docs, labels, sample)
     at = docs.columns.index("text")
 
@@ -152,4 +165,3 @@ def keep_rows(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample: in
         return batch.filter(pa.array(ok))
 
     return map_batches(docs, run, docs.schema)
-

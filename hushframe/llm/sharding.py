@@ -4,8 +4,9 @@ Rows with equal texts form a group.  Packing one by one would be serial in the n
 that are packed are bounded in number: a group above 1/4096 of the total is an item by itself, and is cut only
 where it would fill more than half a shard; all other groups are dealt by hash into ``BINS`` items.  Items are packed on the
 driver, largest first, each into the shard whose residual capacity has the highest dot product with the item's
-size vector among those with room (else: with the most residual bytes).  A row's slot is its item's offset in the
-shard and its place in the item, so no task sorts a whole shard.
+size vector among those with room (else: with the most residual bytes).  A row's slot is its cell's offset in the
+shard and its place in the cell; items are cut into cells of at most about 1/8192 of all rows for the numbering, so no task
+numbers a whole shard, or a whole group of copies.
 """
 
 from __future__ import annotations
@@ -62,19 +63,25 @@ def shard(docs: DataFrame, shards: int = SHARDS, bins: int = BINS, pieces: int =
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
     most_bytes, most_rows = max(total["bytes"] / pieces, 1.0), max(total["rows"] / pieces, 1.0)
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).where((F.col("bytes") > most_bytes) & (F.col("rows") > 1) | (F.col("rows") > most_rows))
-    large = groups.select("group", F.ceil(2 * shards * F.greatest(F.col("bytes") / max(total["bytes"], 1), F.col("rows") / max(total["rows"], 1))).cast("int").alias("n"))
+    share = lambda of: F.greatest(F.col("bytes") / max(total["bytes"], 1), F.col("rows") / max(total["rows"], 1)) * of
+    large = groups.select("group", F.ceil(share(2 * shards)).cast("int").alias("n"), F.ceil(share(2 * pieces) / F.ceil(share(2 * shards))).cast("int").alias("cells"))
     # at most 2 * pieces rows: each has a 1/pieces share of the bytes or of the rows
     named = rows.join(F.broadcast(large), "group", "left")
-    piece = F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(7)), F.col("n"))
-    item = F.when(F.col("n").isNull(), F.pmod(F.xxhash64("group", F.lit(11)), F.lit(bins))).otherwise(bins + F.abs(F.col("group") % F.lit(1 << 40)) * 4 * shards + piece)
-    named = named.withColumn("item", item).drop("n")
-    sums = named.groupBy("item").agg(F.sum("size").alias("bytes"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
-    items = sums.toPandas().sort_values("item").reset_index(drop=True)  # at most bins + 2 * pieces + 4 * shards rows
+    chance = F.xxhash64("doc_id", "text_crc32", F.lit(7))
+    item = F.when(F.col("n").isNull(), F.pmod(F.xxhash64("group", F.lit(11)), F.lit(bins))).otherwise(bins + F.abs(F.col("group") % F.lit(1 << 40)) * 4 * shards + F.pmod(chance, F.col("n")))
+    cell = F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(chance, F.lit(13)), F.col("cells")))
+    named = named.withColumn("item", item).withColumn("cell", cell).drop("n", "cells")
+    sums = named.groupBy("item", "cell").agg(F.sum("size").alias("bytes"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
+    # at most bins + 2 * (2 * pieces + 4 * shards) rows
+    cells = sums.toPandas().sort_values(["item", "cell"]).reset_index(drop=True)
+    items = cells.groupby("item", as_index=False)[["bytes", "tokens", "rows"]].sum()
     items["shard"] = pack(items[["bytes", "tokens", "rows"]].to_numpy(float), shards)
-    items["start"] = items.groupby("shard")["rows"].cumsum() - items["rows"]
-    placed = docs.sparkSession.createDataFrame(items[["item", "shard", "start"]].astype("int64") if len(items) else pd.DataFrame({"item": [], "shard": [], "start": []}), "item long, shard long, start long")
-    within = F.row_number().over(Window.partitionBy("item").orderBy("doc_id", "text_crc32")) - 1
-    out = named.withColumn("rank", within).join(F.broadcast(placed), "item")
+    cells = cells.merge(items[["item", "shard"]], on="item")
+    cells["start"] = cells.groupby("shard")["rows"].cumsum() - cells["rows"]
+    plan = cells[["item", "cell", "shard", "start"]]
+    placed = docs.sparkSession.createDataFrame(plan.astype("int64") if len(plan) else pd.DataFrame({c: [] for c in plan.columns}), "item long, cell long, shard long, start long")
+    within = F.row_number().over(Window.partitionBy("item", "cell").orderBy("doc_id", "text_crc32")) - 1
+    out = named.withColumn("rank", within).join(F.broadcast(placed), ["item", "cell"])
     return out.select("doc_id", "size", "text_crc32", "n_tokens", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("start") + F.col("rank")).cast("long").alias("slot"))
 
 

@@ -1,14 +1,14 @@
 """Operator 5: substring dedup by paragraph MinHash banding.
 
-Paragraphs are lines of ``min_words`` words or more, lower-cased (A-Z).  Twenty-four minima of the hashed
-five-word shingles form eight bands of three: a pair at the threshold 0.8 is missed with probability
-(1 - 0.8**3)**8 = 0.3 %, and equal paragraphs never.  Paragraphs that collide in a band are joined to the
-least of the band, the joined sets are searched for exact Jaccard similarity of at least the threshold
-(``blocks.linked``), and all paragraphs of one component but its first go.
+Paragraphs are lines of ``min_words`` words or more, and runs of shorter lines, without a blank line between, that reach this
+together; all are lower-cased (A-Z).  Twenty-four minima of the hashed five-word shingles form eight bands of three: a
+pair at the threshold 0.8 is missed with probability (1 - 0.8**3)**8 = 0.3 %, and equal paragraphs never.  Paragraphs that
+collide in a band are searched for exact Jaccard similarity of at least the threshold, band by band (``blocks.linked``); the
+verified links alone make the components, and all paragraphs of one component but its first go.
 
 A passage may also stand inside a longer line.  For that, the minimiser of every 20 consecutive positions
 opens a virtual paragraph of 32 words (any passage of 51 words or more holds one, whatever surrounds it).
-Those have J = 1 only, so their single band is the hash of the whole, and the first document keeps them.
+Those have J = 1 only, so their single band is the hash of the whole (96 bits), and the first document keeps them.
 A removed window is a seed: it is stretched word by word, left and right, as far as document and keeper agree;
 out of its line only where they agree on 51 words or more.
 A line of which four fifths are covered by removed spans goes entirely.
@@ -16,18 +16,23 @@ A line of which four fifths are covered by removed spans goes entirely.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hushframe.llm.blocks import forest, linked
 from hushframe.llm.components import components
-from hushframe.llm.kit import map_batches, mix, table, texts_of, window_hashes
+from hushframe.llm.kit import map_batches, mix, spread_join, table, tables, texts_of, unused, window_hashes
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 8, 3
 MIN_WORDS, WINDOW, SPACING, COVER = 25, 32, 20, 0.8
+#: Members of a search of sets; words of a paragraph that counts as two members; share of all postings that makes a band hot.
+GROUP, LONG, HOT = 512, 128, 1000
 
 _seeds = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -76,27 +81,35 @@ def minimisers(v: np.ndarray, spacing: int, of: np.ndarray) -> np.ndarray:
 
 
 def units(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
-    """``(doc_id, start, words, whole, uid, bands)``: lines with their bands, and virtual paragraphs without."""
+    """``(doc_id, start, words, whole, uid, more, bands)``: paragraphs with their bands, and virtual paragraphs without.
+
+    ``uid`` and ``more`` are 96 bits of hash of the words: rows that have both in common are equal.
+    """
+    least = max(min_words, SHINGLE)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         """All texts of a batch at once: positions are those of one long sequence of words, kept inside lines and texts."""
         seen: dict[bytes, int] = {}
-        ids, ends, of, first = [], [], [], []
+        ids, first, starts, sizes, of = [], [], [], [], []
         for i, text in enumerate(texts_of(batch.column("text"))):
             first.append(len(ids))
-            for line in text.lower().split(b"\n"):
+            run = len(ids)  # where the run of short lines before this place begins
+            for line in [*text.lower().split(b"\n"), b""]:
+                begin = len(ids)
                 ids += [seen.setdefault(w, len(seen)) for w in line.split()]
-                ends.append(len(ids))
-                of.append(i)
+                if begin < len(ids) < begin + least:
+                    continue
+                for start, end in ((run, begin), (begin, len(ids))):
+                    if end - start >= least:
+                        starts.append(start)
+                        sizes.append(end - start)
+                        of.append(i)
+                run = len(ids)
         if not ids:
             return None
         h = np.array([xxhash.xxh64_intdigest(w) for w in seen], np.uint64)[np.array(ids, np.int64)]
-        first, of = np.array([*first, len(ids)]), np.array(of)
-        start = np.r_[0, ends[:-1]]
-        size = np.array(ends) - start
-        long = size >= max(min_words, SHINGLE)
-        start, size, of = start[long], size[long], of[long]
-        doc, at, keys, uid = [of], [start], np.empty((0, BANDS), np.uint64), [np.empty(0, np.uint64)]
+        first, start, size, of = np.array([*first, len(ids)]), np.array(starts, np.int64), np.array(sizes, np.int64), np.array(of, np.int64)
+        doc, at, keys, uid, more = [of], [start], np.empty((0, BANDS), np.uint64), [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
         if len(start):
             n = size - SHINGLE + 1
             head = np.cumsum(n) - n
@@ -105,6 +118,7 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, spa
             keys = bands(sh, head)
             order = mix(sh + step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             uid.append(mix(np.add.reduceat(order, head) + size.astype(np.uint64)))
+            more.append(mix(np.bitwise_xor.reduceat(mix(order * np.uint64(0xD6E8FEB86659FD93)), head)))
         room = np.maximum(np.diff(first) - window + 1, 0)
         if room.any():
             text_of = np.repeat(np.arange(len(room)), room)
@@ -113,17 +127,17 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, spa
             doc.append(np.searchsorted(first, anchors, side="right") - 1)
             at.append(anchors)
             uid.append(window_hashes_at(h, anchors, window))
-        doc, at, uid = np.concatenate(doc), np.concatenate(at), np.concatenate(uid)
+            more.append(window_hashes_at(h[::-1], len(h) - window - anchors, window))
+        doc, at, uid, more = np.concatenate(doc), np.concatenate(at), np.concatenate(uid), np.concatenate(more)
         lines = len(start)
         whole = np.arange(len(doc)) < lines
         words = np.where(whole, np.r_[size, np.zeros(len(doc) - lines, np.int64)], window)
         offsets = np.r_[np.arange(lines + 1) * BANDS, np.full(len(doc) - lines, lines * BANDS)].astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(doc)), pa.array((at - first[doc]).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(whole), pa.array(uid.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel()))],
-            names=["doc_id", "start", "words", "whole", "uid", "bands"],
-        )
+        columns = [batch.column("doc_id").take(pa.array(doc)), pa.array((at - first[doc]).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(whole), pa.array(uid.view(np.int64)), pa.array((more >> np.uint64(32)).astype(np.uint32).view(np.int32))]
+        columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel())))
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "words", "whole", "uid", "more", "bands"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, start int, words int, whole boolean, uid long, bands array<long>", rows=256)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, start int, words int, whole boolean, uid long, more int, bands array<long>", rows=256)
 
 
 def window_hashes_at(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -153,14 +167,15 @@ def jaccard_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
 
 
 def paragraph_classes(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``lines(uid, first, bands)``, distinct -> ``(uid, root)`` for paragraphs that are near another; nodes are uids."""
-    posted = lines.select("uid", F.explode("bands").alias("key"))
-    least = posted.groupBy("key").agg(F.min("uid").alias("least"), F.count("*").alias("n")).where("n > 1")
-    met = posted.join(least, "key").where("uid <> least").select(F.col("uid").alias("a"), F.col("least").alias("b"))
-    joined = components(met)
-    member = table(joined.select(F.col("node").alias("uid"), "root").unionByName(joined.select(F.col("root").alias("uid"), "root").distinct()), "joined")
-    where = member.join(lines.select("uid", "first"), "uid").select("uid", "root", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), F.col("first.words").alias("words"))
-    wanted = where.groupBy("doc_id").agg(F.collect_list(F.struct("uid", "root", "start", "words")).alias("wanted"))
+    """``lines(uid, first)``, distinct -> ``(uid, root)`` for paragraphs that are near another; nodes are uids."""
+    posted = lines.select("uid", F.greatest(F.lit(1), F.col("first.words") / LONG).alias("weight"), F.explode("first.bands").alias("key"))
+    sizes = table(posted.groupBy("key").agg(F.count("*").alias("rows"), F.sum("weight").alias("n")).where("rows > 1"), "sizes")
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
+    hot = sizes.where(F.col("rows") > max(total // HOT, 1)).select("key")  # at most HOT rows
+    met = spread_join(posted.select("uid", "key"), sizes.select("key"), "key", hot)
+    keys = met.groupBy("uid").agg(F.collect_list("key").alias("keys"))  # at most one for each band
+    where = keys.join(lines.select("uid", "first"), "uid").select(F.col("first.doc_id").alias("doc_id"), F.struct("uid", "keys", "first.start", "first.words").alias("wanted"))
+    wanted = where.groupBy("doc_id").agg(F.collect_list("wanted").alias("wanted"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted.hint("merge"), "doc_id")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -168,41 +183,48 @@ def paragraph_classes(docs: DataFrame, lines: DataFrame, similarity: float = SIM
         for text, wanted in zip(texts_of(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
             h, _ = words_of(text)
             for w in wanted:
-                key.append(w["root"])
-                node.append(w["uid"])
-                sets.append(shingles(h[w["start"] : w["start"] + w["words"]]).view(np.int64))
+                own = shingles(h[w["start"] : w["start"] + w["words"]]).view(np.int64)
+                key += w["keys"]
+                node += [w["uid"]] * len(w["keys"])
+                sets += [own] * len(w["keys"])
         return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "node", "sets"]) if key else None
 
     def link(data: pa.Array) -> list[tuple[int, int]]:
         return jaccard_forest([np.sort(x.values.to_numpy().view(np.uint64)) for x in data], similarity)
 
-    rows = map_batches(texts, run, "key long, node long, sets array<long>", rows=64).dropDuplicates(["key", "node"])
-    return components(linked(rows, "sets", link, group=2048)).select(F.col("node").alias("uid"), "root")
+    rows = map_batches(texts, run, "key long, node long, sets array<long>", rows=64)
+    return components(linked(rows, "sets", link, group=GROUP, sizes=sizes.select("key", "n"))).select(F.col("node").alias("uid"), "root")
 
 
 def removals(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
     """``(doc_id, keeper, start, words)``: word spans of each document that an earlier place, in document ``keeper``, holds.
 
-    A span within a single document (a line repeated in it) counts for lines, not for virtual paragraphs.
-    Order is by (doc_id, start).  Repeated doc_ids with equal texts are one document here.
+    A span within a single document (a paragraph repeated in it) counts for paragraphs, not for virtual ones.
+    Order is by (doc_id, start).  Rows that repeat a doc_id with the same text are one document here.  A doc_id with different texts
+    (null is empty) names no place, so it neither keeps nor loses anything; nor does a null doc_id.
     """
-    all_units = table(units(docs.where("doc_id is not null"), min_words, window, spacing), "units")
-    place = F.struct("doc_id", "start", "words").alias("first")
-    each = all_units.groupBy("whole", "uid").agg(F.min(place).alias("first"), F.max("bands").alias("bands"), F.count("*").alias("n"))
-    each = table(each.where("whole or n > 1"), "distinct")
-    lines = each.where("whole")
-    near = paragraph_classes(docs, lines, similarity)
-    named = lines.join(near, "uid", "left").select("uid", F.coalesce("root", "uid").alias("root"), "first", "n")
-    classes = named.where("root <> uid").select("root").unionByName(named.where("n > 1").select("root")).distinct()
-    named = table(named.join(classes, "root", "left_semi"), "named")
-    keep = named.groupBy("root").agg(F.min("first").alias("keep"))
-    lines = named.join(keep, "root").select(F.lit(True).alias("whole"), "uid", "keep")
-    windows = each.where("not whole").select("whole", "uid", F.col("first").alias("keep"))
-    spans = all_units.drop("bands").join(lines.unionByName(windows), ["whole", "uid"])
-    other = F.when(F.col("whole"), (F.col("doc_id") != F.col("keep.doc_id")) | (F.col("start") != F.col("keep.start"))).otherwise(F.col("doc_id") != F.col("keep.doc_id"))
-    hits = table(spans.where(other).select("whole", "doc_id", F.col("keep.doc_id").alias("keeper"), F.col("keep.start").alias("source"), "start", "words"), "hits")
-    beside = stretched(docs, hits.where("not whole").select("doc_id", "keeper", "source", "start"), window, spacing)
-    return hits.select("doc_id", "keeper", "start", "words").unionByName(beside)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    with tables() as keep:
+        digest = F.xxhash64("text")
+        unclear = table(docs.groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select("doc_id"), "unclear")
+        if not unclear.isEmpty():
+            docs = docs.join(unclear.hint("merge"), "doc_id", "left_anti")
+        all_units = table(units(docs, min_words, window, spacing), "units")
+        same = ["uid", "more"]
+        lines = all_units.where("whole").groupBy(*same).agg(F.min(F.struct("doc_id", "start", "words", "bands")).alias("first"), F.count("*").alias("n"))
+        lines = table(lines, "lines")
+        windows = all_units.where("not whole").groupBy(*same).agg(F.min(F.struct("doc_id", "start", "words")).alias("keep"), F.count("*").alias("n"))
+        near = paragraph_classes(docs, lines, similarity)
+        named = lines.join(near, "uid", "left").select(*same, F.coalesce("root", "uid").alias("root"), F.struct("first.doc_id", "first.start", "first.words").alias("first"), "n")
+        classes = named.where("root <> uid").select("root").unionByName(named.where("n > 1").select("root")).distinct()
+        named = table(named.join(classes, "root", "left_semi"), "named")
+        kept = named.groupBy("root").agg(F.min("first").alias("keep"))
+        kept = named.join(kept, "root").select(F.lit(True).alias("whole"), *same, "keep").unionByName(windows.where("n > 1").select(F.lit(False).alias("whole"), *same, "keep"))
+        spans = all_units.drop("bands").join(kept, ["whole", *same])
+        other = F.when(F.col("whole"), (F.col("doc_id") != F.col("keep.doc_id")) | (F.col("start") != F.col("keep.start"))).otherwise(F.col("doc_id") != F.col("keep.doc_id"))
+        hits = table(spans.where(other).select("whole", "doc_id", F.col("keep.doc_id").alias("keeper"), F.col("keep.start").alias("source"), "start", "words"), "hits")
+        beside = stretched(docs, hits.where("not whole").select("doc_id", "keeper", "source", "start"), window, spacing)
+        return keep(table(hits.select("doc_id", "keeper", "start", "words").unionByName(beside).distinct(), "removals"))
 
 
 def stretched(docs: DataFrame, seeds: DataFrame, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
@@ -253,46 +275,61 @@ def stretched(docs: DataFrame, seeds: DataFrame, window: int = WINDOW, spacing:
     return sized.select("doc_id", "keeper", F.inline(sides)).where("words > 0")
 
 
+_word = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
 def cut(text: str, spans: list[tuple[int, int]], cover: float = COVER) -> tuple[str, int]:
-    """The text without the word spans (start, words), and how many words went.  Lines that end up empty go too."""
+    """The text without the word spans (start, words), and how many words went.
+
+    Lines that are covered go with their line end.  What stays keeps its white space; a removed stretch takes the white space
+    after it along (at the end of a line: before it).
+    """
     gone: set[int] = set()
     for start, words in spans:
         gone.update(range(start, start + words))
     out, at, went = [], 0, 0
     for line in text.encode().split(b"\n"):
-        words = line.split()
-        hit = [at + i in gone for i in range(len(words))]
+        places = [m.span() for m in _word.finditer(line)]
+        hit = [at + i in gone for i in range(len(places))]
         n = sum(hit)
-        at += len(words)
+        at += len(places)
         if not n:
             out.append(line)
-        elif n >= cover * len(words):
-            went += len(words)
+        elif n >= cover * len(places):
+            went += len(places)
         else:
-            out.append(b" ".join(w for w, h in zip(words, hit, strict=True) if not h))
             went += n
+            left, end = [line[: places[0][0]]], len(line)
+            for i, (s, e) in enumerate(places):
+                if not hit[i]:
+                    left.append(line[s : places[i + 1][0] if i + 1 < len(places) else end])
+            out.append(b"".join(left) if not hit[-1] else b"".join(left).rstrip(b" \t\r\x0b\x0c"))
     return b"\n".join(out).decode(), went
 
 
-def dedup_passages(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
-    """``docs`` with ``text`` cut, plus ``_keepers`` (array of doc_ids, null: none) and ``_words_cut``; one row for each row.
+def dedup_passages(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, window: int = WINDOW, spacing: int = SPACING, keepers: str = "_keepers", words_cut: str = "_words_cut") -> DataFrame:
+    """``docs`` with ``text`` cut, plus ``keepers`` (array of doc_ids, null: none) and ``words_cut``; one row for each row.
 
-    Null and empty texts, and a null doc_id, pass through uncut; other columns are kept as they are.
+    Null and empty texts, and rows with a null doc_id, pass through uncut.  Rows that repeat a doc_id are cut alike, if their
+    texts are equal, and not at all otherwise.  Other columns are kept as they are, whatever their names; one that is called like a
+    result column is replaced by it.  An empty table gives an empty table.
     """
-    spans = removals(docs, similarity, min_words, window, spacing)
-    per = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_set("keeper")).alias("_keepers"), F.collect_set(F.struct("start", "words")).alias("_spans"))
-    both = docs.join(table(per, "spans").hint("merge"), docs["doc_id"].cast("long") == F.col("_doc"), "left")
+    docs = docs.drop(keepers, words_cut)
+    doc, places = unused(docs, "doc", "spans")
+    with tables() as keep:
+        found = removals(docs, similarity, min_words, window, spacing)
+        per = found.groupBy(F.col("doc_id").alias(doc)).agg(F.sort_array(F.collect_set("keeper")).alias(keepers), F.collect_list(F.struct("start", "words")).alias(places))
+        per = keep(table(per, "spans"))
+    both = docs.join(per.hint("merge"), docs["doc_id"].cast("long") == F.col(doc), "left").drop(doc)
     names = both.columns
     at = names.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, spans = batch.column(at).to_pylist(), batch.column("_spans").to_pylist()
+        texts, spans = batch.column(at).to_pylist(), batch.column(names.index(places)).to_pylist()
         done = [(t, 0) if not s or t is None else cut(t, [(x["start"], x["words"]) for x in s]) for t, s in zip(texts, spans, strict=True)]
-        cols = [batch.column(i) for i, n in enumerate(names) if n not in ("_doc", "_spans")]
+        cols = [batch.column(i) for i, n in enumerate(names) if n != places]
         cols[at] = pa.array([t for t, _ in done], pa.string())
-        return pa.RecordBatch.from_arrays([*cols, pa.array([n for _, n in done], pa.int64())], names=[*(n for n in names if n not in ("_doc", "_spans")), "_words_cut"])
-
-    from pyspark.sql import types as T
+        return pa.RecordBatch.from_arrays([*cols, pa.array([n for _, n in done], pa.int64())], names=[*(n for n in names if n != places), words_cut])
 
-    schema = T.StructType([f for f in both.schema if f.name not in ("_doc", "_spans")]).add("_words_cut", "long")
+    schema = T.StructType([f for f in both.schema if f.name != places]).add(words_cut, "long")
     return map_batches(both, run, schema, rows=256)

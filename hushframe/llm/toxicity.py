@@ -1,7 +1,7 @@
 """Operator 9: toxicity by Levenshtein automata intersected with a lexicon trie, and context-window scores.
 
-The lexicon (at most ``TERMS`` words and stems with their log-odds) is learned from labelled rows: a term must be far
-more common in rows labelled toxic.  A word matches a term exactly, by a stem, after undoing look-alike digits, or within one
+The lexicon (words and stems with their log-odds) is learned from at most ``SAMPLE`` labelled rows, which bounds it: a term
+must be far more common in rows labelled toxic; every term that passes is in.  A word matches a term exactly, by a stem, after undoing look-alike digits, or within one
 edit (two from ten letters on; swapped neighbours count as one; terms of one or two letters only exactly): the word's Levenshtein automaton walks the
 trie, one row of edit counts a node, and leaves a branch as soon as no count is within the limit.  A fuzzy match
 that rows without the label also use is a word of its own and is not taken.
@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.kit import fold, map_batches, table
+from hushframe.llm.kit import fold, map_batches, table, tables
 from hushframe.llm.trees import Nodes, boost
 
-#: At most so many labelled rows (those of least hashed doc_id) and terms are used for the fit.
-SAMPLE, TERMS, FOLDS, WINDOW, STEMS = 20_000, 400, 5, 6, (5, 6, 7, 8)
+#: At most so many labelled rows (those of least hashed doc_id) are used for the fit.
+SAMPLE, FOLDS, WINDOW, STEMS = 20_000, 5, 6, (5, 6, 7, 8)
 #: Words of reported speech, and words that address someone.
 REPORTED = frozenset("said says quoted quote wrote writes called term word phrase reported according heißt sagte zitat dit mot cita dijo palabra".split())
 ADDRESSED = frozenset("you your you're u ur youre are yourself du dich dein ihr euch tu te toi vous ton usted tú eres".split())
@@ -183,7 +183,7 @@ def _sample(labels: DataFrame, sample: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = TERMS) -> tuple[Matcher, Nodes | None]:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Matcher, Nodes | None]:
     """Lexicon from three fifths of the sampled rows, trees from the others; without labels an empty lexicon."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(_sample(labels, sample)), "doc_id")
     rows = table(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5))), "sample")
@@ -203,7 +203,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     odds = F.log((F.col("pos") + 0.5) / F.lit(p)) - F.log((F.col("neg") + 0.5) / F.lit(n))
     # seen in enough toxic rows, by far more than chance
     picked = terms.withColumn("odds", odds).where((F.col("pos") >= 4) & (F.col("odds") >= 2.5) & (F.col("odds") * F.sqrt("pos") >= 9))
-    best = picked.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "term").limit(most).collect()
+    best = picked.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "term").collect()  # bounded by the sampled rows
     stems = {r["term"][:-1]: min(r["odds"], 6.0) for r in best if r["term"].endswith("*")}
     stems = {s: w for s, w in stems.items() if not any(s[:k] in stems for k in STEMS if k < len(s))}
     words = {r["term"]: min(r["odds"], 6.0) for r in best if not r["term"].endswith("*")}
@@ -230,13 +230,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     return matcher, boost(x, got["toxic"].to_numpy(float), up, trees=30, depth=3)
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = TERMS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``(doc_id, score, predicted, n_terms, n_fuzzy, n_quoted)`` for each row of ``docs``.
 
     Null and empty texts get the score of a text without terms; without labels every score is 0; null doc_ids and repeated
-    rows are scored like any other; whole texts are read; other columns are ignored.
+    rows are scored like any other; an empty table gives an empty table; whole texts are read; other columns are ignored.
     """
-    matcher, model = learn(docs, labels, sample, most)
+    with tables():
+        matcher, model = learn(docs, labels, sample)
     none = [0.0] * len(FEATURES)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:

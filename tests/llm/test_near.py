@@ -6,8 +6,9 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from hushframe.llm import simhash, substring
+from hushframe.llm import blocks, simhash, substring
 from hushframe.llm.blocks import forest, linked
 from hushframe.llm.components import components
 
@@ -137,15 +138,31 @@ def test_passages_inside_lines_go_whole(spark, n):
     assert got[12]["_words_cut"] == n + 5 and got[12]["text"].split()[0] == "other" and not {*own[0][1][:5]} & {*got[12]["text"].split()}
 
 
+def paragraphs(text, least=substring.MIN_WORDS):
+    """Word spans of long lines and of runs of short ones."""
+    at, spans, run = 0, [], []
+    for line in [*re.split("\n", text), ""]:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", line))
+        if 0 < n < least:
+            run.append((at, at + n))
+        else:
+            if run and run[-1][1] - run[0][0] >= least:
+                spans.append((run[0][0], run[-1][1]))
+            if n:
+                spans.append((at, at + n))
+            run = []
+        at += n
+    return spans
+
+
 def test_paragraph_classes_match_brute_force(spark, docs):
     """All pairs of long lines by exact Jaccard similarity."""
     rows = docs.select("doc_id", "text").collect()
     lines = {}
     for r in rows:
-        h, starts = substring.words_of(r["text"].encode())
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            if b - a >= substring.MIN_WORDS:
-                lines.setdefault((r["doc_id"], int(a)), frozenset(substring.shingles(h[a:b]).tolist()))
+        h, _ = substring.words_of(r["text"].encode())
+        for a, b in paragraphs(r["text"]):
+            lines[(r["doc_id"], a)] = frozenset(substring.shingles(h[a:b]).tolist())
     places = sorted(lines)
     by = {}
     for i, p in enumerate(places):
@@ -159,9 +176,74 @@ def test_paragraph_classes_match_brute_force(spark, docs):
     assert len(want - got) <= 0.01 * len(want) and got <= want
 
 
+def test_passages_over_short_lines_are_found(spark):
+    """One word differs, so no window of 32 words is shared; a run of short lines is a paragraph all the same."""
+    rng = np.random.default_rng(8)
+    lines = [words(rng, 11) for _ in range(5)]
+    wrap = lambda ls: "\n".join(" ".join(x) for x in ls)
+    other = [list(x) for x in lines]
+    other[2][5] = "changed"
+    own = [" ".join(words(rng, 60)) for _ in range(6)]
+    texts = [f"{own[0]}\n{wrap(lines)}\n\n{own[3]}", f"{own[1]}\n\n{wrap(other)}\n{own[4]}", f"{own[2]}\n{wrap(lines[:2])}\n{own[5]}"]
+    got = {r["doc_id"]: r for r in substring.dedup_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["_words_cut"] for i in range(3)] == [0, 55, 0] and got[1]["text"] == f"{own[1]}\n\n{own[4]}"
+
+
+def test_what_stays_keeps_its_white_space():
+    text = "a  b\tc   d e\n  x\n  f g  h  "
+    assert substring.cut(text, [(1, 2)]) == ("a  d e\n  x\n  f g  h  ", 2)
+    assert substring.cut(text, [(6, 1)]) == ("a  b\tc   d e\n  x\n  g  h  ", 1)
+    assert substring.cut(text, [(4, 1), (8, 1)]) == ("a  b\tc   d\n  x\n  f g", 2)
+    assert substring.cut(text, [(5, 1)]) == ("a  b\tc   d e\n  f g  h  ", 1)
+
+
+def test_ids_with_several_texts_are_left_alone(spark):
+    rng = np.random.default_rng(4)
+    line = " ".join(words(rng, 40))
+    rows = [(1, line), (2, line), (2, line + " more"), (3, line), (3, line)]
+    got = sorted((r["doc_id"], r["_words_cut"]) for r in substring.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 0), (2, 0), (2, 0), (3, 40), (3, 40)]
+
+
+def test_a_hub_and_a_family_are_spread_over_tasks(spark):
+    """Far more members than one search takes, in one component."""
+    star = spark.range(1, 4000).selectExpr("id as a", "0 as b")
+    got = {r["node"]: r["root"] for r in components(star).collect()}
+    assert got == {i: 0 for i in range(1, 4000)}
+    rows = spark.range(3000).selectExpr("7L as key", "id as node", "id as v").unionByName(spark.range(5000, 5010).selectExpr("8L as key", "id as node", "id as v"))
+    cut = blocks._cut(rows, rows.groupBy("key").agg(F.count("*").alias("n")), 100)
+    sizes = [r["count"] for r in cut.groupBy("key").count().collect()]
+    assert max(sizes) < 200 and len(sizes) == 60 * 61 // 2 + 1
+
+
+def test_null_ids_join_documents_and_repeats_are_chosen_in_order(spark):
+    fps = [0, 0b111, 0b111111, 0xFF << 40]  # the second is near both of its neighbours
+    links = {r["node"]: r["root"] for r in components(simhash.near_links(spark.createDataFrame([(f, f) for f in fps], "node long, fp long"))).collect()}
+    assert links == {0b111: 0, 0b111111: 0}
+    rows = [(5, "b", "x"), (5, "a", "z"), (5, "a", "y"), (5, None, "w"), (6, "c", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, doc string").withColumn("m", F.create_map(F.lit("k"), F.col("doc")))
+    kept = {r["doc_id"]: (r["text"], r["doc"]) for r in simhash.keep_first(df).collect()}
+    assert kept[5] == (None, "w")
+
+
+def test_lists_are_split_without_losing_a_pair(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 62, 60)
+    fps = sorted({int(b) ^ sum(1 << int(k) for k in rng.integers(0, 62, rng.integers(0, 5))) for b in base for _ in range(8)})
+    links = [(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    want = least(fps, links)
+    points = spark.createDataFrame([(f, f) for f in fps], "node long, fp long")
+    for most in (1, 1e-4, 1e-9):
+        assert simhash.depth_of(len(fps), 4, most) > 1
+        found = {r["node"]: r["root"] for r in components(simhash.near_links(points, most=most)).collect()}
+        assert [found.get(f, f) for f in fps] == want
+
+
 def test_substring_edge_cases(odd, none):
     got = substring.dedup_passages(odd)
-    assert got.columns[: len(odd.columns)] == odd.columns and got.count() == odd.count()
+    assert sorted(got.columns) == sorted(odd.columns) and got.count() == odd.count()  # result columns replace those of their name
+    other = substring.dedup_passages(odd, keepers="k2", words_cut="w2")
+    assert other.columns == [*odd.columns, "k2", "w2"] and other.where("_keepers <> 'x'").count() == 0
     assert substring.dedup_passages(none).count() == 0
     assert {r["_words_cut"] for r in got.where("doc_id is null or text is null").collect()} == {0}
 
