@@ -119,6 +119,67 @@ def test_lm(docs, odd, none, monkeypatch):
     assert len(out) == odd.count() and np.isfinite(out["score"]).all() and lm.score(none).count() == 0
 
 
+def counted(rows):
+    """Training and deleted-fold counts of words and word pairs, by plain counters."""
+    out = {k: (collections.Counter(), collections.Counter()) for k in ("train", "deleted")}
+    tokens = {}
+    for i, t in rows:
+        ws = [*WORD.findall((t or "").encode().lower()), b" "]
+        tokens[i] = list(zip([b" ", *ws[:-1]], ws, strict=True))
+        fold = zlib.crc32(str(i).encode()) % lm.FOLDS
+        for k in (["train"] if fold else []) + (["deleted"] if fold == lm.DELETED else []):
+            out[k][0].update(ws)
+            out[k][1].update(tokens[i])
+    return tokens, out
+
+
+def bucket(c):
+    return c.bit_length()
+
+
+def test_lm_scores_follow_the_formula_and_the_weights_are_those_of_em(spark, docs, monkeypatch):
+    """The mixture recomputed from plain counts; the weights from expectation-maximisation over single events, without a histogram."""
+    monkeypatch.setattr(lm, "BATCH", 20_000)
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    tokens, c = counted(rows)
+    (one, two), (gone1, gone2) = c["train"], c["deleted"]
+    n = sum(one.values())
+    kept = n - sum(gone1.values())
+    events = collections.defaultdict(list)  # by bucket of the context: (pair estimate, word estimate)
+    for pair, times in gone2.items():
+        u, w = pair
+        ku, kw, kp = one[u] - gone1[u], one[w] - gone1[w], two[pair] - gone2[pair]
+        events[bucket(ku)].append((times, kp / max(ku, 1), kw / kept if kw else None))
+
+    def em(part, prior, weight):
+        lam = prior
+        for _ in range(60):
+            got = np.zeros(3)
+            for times, p2, p1 in part:
+                if p1 is None:
+                    got[2] += times
+                else:
+                    a, b = lam[0] * p2, lam[1] * p1
+                    got += times * np.array([a, b, 0]) / (a + b)
+            lam = (got + weight * prior) / (got + weight * prior).sum()
+        return lam
+
+    whole = em([e for part in events.values() for e in part], np.array([0.3, 0.6, 0.1]), 1.0)
+    want = {b: em(part, whole, 2.0) for b, part in events.items()}
+    found = {}
+    inner = lm.weights
+    monkeypatch.setattr(lm, "weights", lambda *a, **k: found.setdefault("lam", inner(*a, **k)))
+    scores = {r["doc_id"]: r["score"] for r in lm.score(docs).collect()}
+    lam = found["lam"]
+    assert all(np.abs(lam[b] - w).max() < 0.02 for b, w in want.items() if b and sum(e[0] for e in events[b]) > 200)
+    for i, pairs in tokens.items():
+        total = 0.0
+        for u, w in pairs:
+            a = lam[bucket(one[u])]
+            total += math.log10(a[0] * two[u, w] / max(one[u], 1) + a[1] * one[w] / n + a[2] * (one[w] == 0))
+        assert math.isclose(scores[i], total, rel_tol=1e-9)
+
+
 def test_lm_weights_sum_to_one(docs):
     coded = lm.encode(docs)
     from hushframe.llm.kit import table
@@ -211,7 +272,48 @@ def test_pipeline(spark, sf, docs):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()} == ids[4]
 
 
+def test_pipeline_matches_brute_force(spark, sf, docs):
+    """Each stage's decisions recomputed from its own input, pair by pair."""
+    import hashlib
+
+    from tests_near import near_classes, paragraph_losers
+    from tokenizers import Tokenizer
+
+    from hushframe.llm import quality
+    from hushframe.llm.queries import tokenizer
+
+    as_dict = lambda df: {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality rules"](spark, docs, sf)
+    verdict = quality.assess(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("kept").select("doc_id").collect()
+    assert set(as_dict(kept)) == {r["doc_id"] for r in verdict}
+    first = stages["SimHash near-dedup"](spark, kept, sf)
+    classes = near_classes(as_dict(kept))
+    assert as_dict(first) == {i: t for i, t in as_dict(kept).items() if classes[i] == i}
+    cut = stages["substring dedup"](spark, first, sf)
+    before, after = as_dict(first), as_dict(cut)
+    lost = paragraph_losers(before)
+    for i, t in before.items():
+        for a, b in lost.get(i, ()):  # the words of a paragraph that an earlier one matches are gone
+            assert len((after.get(i) or "").split()) <= len(t.split()) - (b - a)
+    shared = collections.Counter(w for t in before.values() for w in {tuple(t.lower().split()[k : k + 32]) for k in range(len(t.split()) - 31)})
+    for i, t in before.items():
+        if i not in lost and all(shared[tuple(t.lower().split()[k : k + 32])] == 1 for k in range(len(t.split()) - 31)):
+            assert after[i] == t  # nothing is shared, nothing goes
+    clean = stages["benchmark decontamination"](spark, cut, sf)
+    norm = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    sh = lambda ws: {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set()
+    items = [sh(norm(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    bad = {i for i, t in after.items() for it in items if it and len(it & sh(norm(t))) >= 0.8 * len(it)}
+    assert set(as_dict(clean)) == set(after) - bad
+    lib = Tokenizer.from_file(tokenizer())
+    for r in stages["BPE encoding and decoding"](spark, clean, sf).collect():
+        ids = lib.encode(after[r["doc_id"]], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
 def test_pipeline_stages_take_odd_rows(spark, sf, odd, none):
     for _, stage in corpus_pipeline.STAGES:
-        for df in (odd.drop("n"), none):
-            stage(spark, df, sf).count()
+        for df in (odd, none):
+            out = stage(spark, df, sf)
+            assert out.count() >= 0 and (out.columns == df.columns or "ids_sha256" in out.columns)

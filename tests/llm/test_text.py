@@ -176,6 +176,11 @@ def test_quality(spark, sf, docs, odd, none):
     assert quality.keep_rows(odd, labels.limit(0)).columns == odd.columns
 
 
+def test_letters_of_all_scripts_and_nothing_else_are_counted():
+    for text, n in (("abc", 3), ("\u201cquoted\u201d \U0001f389", 6), ("日本語12", 3), ("Привет!", 6), ("é_ß٣", 2), ("", 0)):
+        assert quality.n_letters(text.encode()) == n
+
+
 def test_constraints_hold():
     rng = np.random.default_rng(0)
     x = rng.random((600, 3))
@@ -250,9 +255,66 @@ def test_context_tells_quotation_from_abuse():
     assert abuse[0] > told[0] and abuse[6] > 0 and told[5] > 0 and toxicity.context("all is well", m) is None
 
 
-def test_toxicity(spark, odd, none):
+@pytest.fixture(scope="module")
+def tagged(spark):
     big = "/root/testdata/sf0.01"
-    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    return spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+
+
+def plain_find(word, m):
+    """The rules of a match by the edit distance to every term."""
+    word = word.strip("_'@$!")
+    if word in m.words:
+        return word, False
+    for n in toxicity.STEMS:
+        if len(word) >= n and word[:n] in m.stems:
+            return word[:n], False
+    plain = word.translate(str.maketrans("0134578@$!", "oieastbasi"))
+    if word in m.known or len(word) < 2:
+        return None
+    if plain in m.words:
+        return plain, True
+    limit = {t: 1 if len(t) < 10 else 2 for t in m.words if len(t) > 2}
+    for w in dict.fromkeys((word, plain)):
+        near = [(d, t) for t, most in limit.items() if abs(len(t) - len(w)) <= most and (d := edits(w, t)) <= most]
+        if near:
+            return min(near)[1], True
+    return None
+
+
+def test_whole_texts_hold_the_matches_of_brute_force(tagged):
+    """Every word of labelled and other texts, and terms with one or two random edits, swaps among them."""
+    docs, labels = tagged
+    m, _ = toxicity.learn(docs, labels)
+    texts = [r["text"] for r in docs.join(labels.where("toxic = 1"), "doc_id").orderBy("doc_id").limit(25).collect()] + [r["text"] for r in docs.orderBy("doc_id").limit(10).collect()]
+    rng, terms, edited = np.random.default_rng(2), sorted(m.words), []
+    for _ in range(400):
+        w = list(terms[rng.integers(len(terms))])
+        for _ in range(rng.integers(1, 4)):
+            at, how = int(rng.integers(max(len(w) - 1, 1))), rng.integers(4)
+            if how == 0 and len(w) > 1:
+                w[at : at + 2] = w[at : at + 2][::-1]
+            elif how == 1:
+                w.insert(at, chr(97 + int(rng.integers(26))))
+            elif how == 2 and len(w) > 1:
+                del w[at]
+            elif w:
+                w[at] = chr(97 + int(rng.integers(26)))
+        edited.append("".join(w))
+    known: dict = {}
+    for text in [*texts, " ".join(edited)]:
+        words = toxicity._word.findall(text.lower())
+        for w in set(words) - known.keys():
+            known[w] = plain_find(w, m)
+            hit = m.find(w)
+            assert (hit and (hit[0], hit[2])) == known[w], w
+        hits = [known[w] for w in words if known[w]]
+        x = toxicity.context(text, m)
+        assert (x is None) == (not hits) and (x is None or (x[2], x[4]) == (len({t for t, _ in hits}), sum(f for _, f in hits)))
+
+
+def test_toxicity(spark, odd, none, tagged):
+    docs, labels = tagged
     got = toxicity.score(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
     held = got[got["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)]
     assert (held["predicted"] == held["toxic"]).mean() > 0.93 and held["score"].between(0, 1).all()
