@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from hushframe.llm.kit import drop_table, spread_join, table
 
-#: A node with more than 1/SHARE of the edges is a hub; there are at most 2 * SHARE.  Below LEAST edges no node is one.
-SHARE, LEAST = 1000, 64
+#: A node with more than 1/SHARE of the edges is a hub; there are at most 2 * SHARE.  With up to LEAST edges no node is one.
+SHARE, LEAST = 1000, 4096
 
 
 def _told(rows: DataFrame, least: DataFrame, hubs: int | None) -> DataFrame:

@@ -17,9 +17,11 @@ A line of which four fifths are covered by removed spans goes entirely.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +33,9 @@ from hushframe.llm.kit import map_batches, mix, spread_join, table, tables, text
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 8, 3
 MIN_WORDS, WINDOW, SPACING, COVER = 25, 32, 20, 0.8
-#: Members of a search of sets; words of a paragraph that counts as two members; share of all postings that makes a band hot.
-GROUP, LONG, HOT = 512, 128, 1000
+#: Members of a search of sets; words of a paragraph that counts as two members; a band key with more than 1/HOT of all postings
+#: is hot, and none with up to LEAST.
+GROUP, LONG, HOT, LEAST = 512, 128, 1000, 4096
 
 _seeds = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -170,9 +173,10 @@ def paragraph_classes(docs: DataFrame, lines: DataFrame, similarity: float = SIM
     """``lines(uid, first)``, distinct -> ``(uid, root)`` for paragraphs that are near another; nodes are uids."""
     posted = lines.select("uid", F.greatest(F.lit(1), F.col("first.words") / LONG).alias("weight"), F.explode("first.bands").alias("key"))
     sizes = table(posted.groupBy("key").agg(F.count("*").alias("rows"), F.sum("weight").alias("n")).where("rows > 1"), "sizes")
-    total = sizes.agg(F.sum("rows")).first()[0] or 0
-    hot = sizes.where(F.col("rows") > max(total // HOT, 1)).select("key")  # at most HOT rows
-    met = spread_join(posted.select("uid", "key"), sizes.select("key"), "key", hot)
+    total, most = sizes.agg(F.sum("rows"), F.max("rows")).first()
+    limit, keyed = max((total or 0) // HOT, LEAST), posted.select("uid", "key")
+    hot = sizes.where(F.col("rows") > limit).select("key")  # at most HOT rows
+    met = spread_join(keyed, sizes.select("key"), "key", hot) if (most or 0) > limit else keyed.join(sizes.select("key"), "key")
     keys = met.groupBy("uid").agg(F.collect_list("key").alias("keys"))  # at most one for each band
     where = keys.join(lines.select("uid", "first"), "uid").select(F.col("first.doc_id").alias("doc_id"), F.struct("uid", "keys", "first.start", "first.words").alias("wanted"))
     wanted = where.groupBy("doc_id").agg(F.collect_list("wanted").alias("wanted"))
@@ -205,9 +209,10 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = M
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     with tables() as keep:
-        digest = F.xxhash64("text")
-        unclear = table(docs.groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select("doc_id"), "unclear")
-        if not unclear.isEmpty():
+        repeated = table(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")  # reads no text
+        if not repeated.isEmpty():
+            digest, some = F.xxhash64("text"), docs.join(repeated.hint("merge"), "doc_id", "left_semi")
+            unclear = table(some.groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select("doc_id"), "unclear")
             docs = docs.join(unclear.hint("merge"), "doc_id", "left_anti")
         all_units = table(units(docs, min_words, window, spacing), "units")
         same = ["uid", "more"]
@@ -224,7 +229,7 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = M
         other = F.when(F.col("whole"), (F.col("doc_id") != F.col("keep.doc_id")) | (F.col("start") != F.col("keep.start"))).otherwise(F.col("doc_id") != F.col("keep.doc_id"))
         hits = table(spans.where(other).select("whole", "doc_id", F.col("keep.doc_id").alias("keeper"), F.col("keep.start").alias("source"), "start", "words"), "hits")
         beside = stretched(docs, hits.where("not whole").select("doc_id", "keeper", "source", "start"), window, spacing)
-        return keep(table(hits.select("doc_id", "keeper", "start", "words").unionByName(beside).distinct(), "removals"))
+        return keep(table(hits.select("doc_id", "keeper", "start", "words").unionByName(beside), "removals"))
 
 
 def stretched(docs: DataFrame, seeds: DataFrame, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
@@ -232,7 +237,8 @@ def stretched(docs: DataFrame, seeds: DataFrame, window: int = WINDOW, spacing:
 
     Less than ``spacing`` words on each side are compared: a longer stretch holds an anchor that both documents have,
     so another seed.  Where such a seed of the same keeper adjoins, its own stretch goes on from there.  A passage of less
-    than ``window + spacing - 1`` words is not stretched beyond the line: short lines beside a repeated one stay.
+    than ``window + spacing - 1`` words is not stretched beyond the line: short lines beside a repeated one stay.  Words are told
+    apart by 32 bits of hash here: one word in four billion is taken for the keeper's.
     """
     row = Window.partitionBy("doc_id", "keeper", F.col("start") - F.col("source")).orderBy("start")
     edges = seeds.select("*", F.coalesce(F.lag("start").over(row) + window < F.col("start"), F.lit(True)).alias("left"), F.coalesce(F.lead("start").over(row) > F.col("start") + window, F.lit(True)).alias("right"))
@@ -245,7 +251,7 @@ def stretched(docs: DataFrame, seeds: DataFrame, window: int = WINDOW, spacing:
         doc, at, before, after, room = [], [], [], [], []
         for i, text, wanted in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
             h, lines = words_of(text)
-            h = h.view(np.int64)
+            h = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
             for s in wanted:
                 doc.append(i)
                 at.append(s)
@@ -253,10 +259,10 @@ def stretched(docs: DataFrame, seeds: DataFrame, window: int = WINDOW, spacing:
                 after.append(h[s + window : s + window + spacing - 1])
                 first, last = np.minimum(np.searchsorted(lines, [s, s + window - 1], side="right"), len(lines) - 1)
                 room.append((s - int(lines[first - 1]), int(lines[last]) - s - window))
-        words = pa.list_(pa.int64())
+        words = pa.list_(pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(before, words), pa.array(after, words), pa.array([x for x, _ in room], pa.int32()), pa.array([x for _, x in room], pa.int32())], names=["doc_id", "start", "before", "after", "line_before", "line_after"]) if doc else None
 
-    around = table(map_batches(texts, run, "doc_id long, start int, before array<long>, after array<long>, line_before int, line_after int", rows=64).dropDuplicates(["doc_id", "start"]), "around")
+    around = table(map_batches(texts, run, "doc_id long, start int, before array<int>, after array<int>, line_before int, line_after int", rows=64).dropDuplicates(["doc_id", "start"]), "around")
     kept = around.select(F.col("doc_id").alias("keeper"), F.col("start").alias("source"), F.col("before").alias("kept_before"), F.col("after").alias("kept_after"))
     both = edges.join(around, ["doc_id", "start"]).join(kept, ["keeper", "source"])
 
@@ -284,29 +290,48 @@ def cut(text: str, spans: list[tuple[int, int]], cover: float = COVER) -> tuple[
     Lines that are covered go with their line end.  What stays keeps its white space; a removed stretch takes the white space
     after it along (at the end of a line: before it).
     """
-    gone: set[int] = set()
-    for start, words in spans:
-        gone.update(range(start, start + words))
-    out, at, went = [], 0, 0
+    merged: list[list[int]] = []
+    for start, words in sorted(spans):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], start + words)
+        else:
+            merged.append([start, start + words])
+    out, at, went, k = [], 0, 0, 0
     for line in text.encode().split(b"\n"):
-        places = [m.span() for m in _word.finditer(line)]
-        hit = [at + i in gone for i in range(len(places))]
-        n = sum(hit)
-        at += len(places)
+        begin, size = at, len(line.split())
+        at += size
+        while k < len(merged) and merged[k][1] <= begin:
+            k += 1
+        own = [(max(a, begin) - begin, min(b, at) - begin) for a, b in _within(merged, k, at)]
+        n = sum(b - a for a, b in own)
         if not n:
             out.append(line)
-        elif n >= cover * len(places):
-            went += len(places)
+        elif n >= cover * size:
+            went += size
         else:
             went += n
-            left, end = [line[: places[0][0]]], len(line)
-            for i, (s, e) in enumerate(places):
-                if not hit[i]:
-                    left.append(line[s : places[i + 1][0] if i + 1 < len(places) else end])
-            out.append(b"".join(left) if not hit[-1] else b"".join(left).rstrip(b" \t\r\x0b\x0c"))
+            out.append(_without(line, own))
     return b"\n".join(out).decode(), went
 
 
+def _within(merged: list[list[int]], k: int, end: int) -> Iterator[list[int]]:
+    while k < len(merged) and merged[k][0] < end:
+        yield merged[k]
+        k += 1
+
+
+def _without(line: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """A line without some of its words."""
+    places = [m.span() for m in _word.finditer(line)]
+    left, from_ = [], 0
+    for a, b in spans:
+        left.append(line[from_ : places[a][0]])
+        from_ = places[b][0] if b < len(places) else len(line)
+    left.append(line[from_:])
+    kept = b"".join(left)
+    return kept.rstrip(b" \t\r\x0b\x0c") if spans[-1][1] == len(places) else kept
+
+
 def dedup_passages(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, window: int = WINDOW, spacing: int = SPACING, keepers: str = "_keepers", words_cut: str = "_words_cut") -> DataFrame:
     """``docs`` with ``text`` cut, plus ``keepers`` (array of doc_ids, null: none) and ``words_cut``; one row for each row.
 
@@ -318,18 +343,25 @@ def dedup_passages(docs: DataFrame, similarity: float = SIMILARITY, min_words: i
     doc, places = unused(docs, "doc", "spans")
     with tables() as keep:
         found = removals(docs, similarity, min_words, window, spacing)
-        per = found.groupBy(F.col("doc_id").alias(doc)).agg(F.sort_array(F.collect_set("keeper")).alias(keepers), F.collect_list(F.struct("start", "words")).alias(places))
+        per = found.groupBy(F.col("doc_id").alias(doc)).agg(F.sort_array(F.collect_set("keeper")).alias(keepers), F.collect_set(F.struct("start", "words")).alias(places))
         per = keep(table(per, "spans"))
     both = docs.join(per.hint("merge"), docs["doc_id"].cast("long") == F.col(doc), "left").drop(doc)
     names = both.columns
     at = names.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, spans = batch.column(at).to_pylist(), batch.column(names.index(places)).to_pylist()
-        done = [(t, 0) if not s or t is None else cut(t, [(x["start"], x["words"]) for x in s]) for t, s in zip(texts, spans, strict=True)]
+        spans = batch.column(names.index(places))
+        rows = np.flatnonzero(pc.and_(spans.is_valid(), batch.column(at).is_valid()).to_numpy(zero_copy_only=False))
+        counts = np.zeros(batch.num_rows, np.int64)
         cols = [batch.column(i) for i, n in enumerate(names) if n != places]
-        cols[at] = pa.array([t for t, _ in done], pa.string())
-        return pa.RecordBatch.from_arrays([*cols, pa.array([n for _, n in done], pa.int64())], names=[*(n for n in names if n != places), words_cut])
+        if len(rows):  # texts without spans are handed on as they are
+            some = pa.array(rows)
+            done = [cut(t, [(x["start"], x["words"]) for x in s]) for t, s in zip(batch.column(at).take(some).to_pylist(), spans.take(some).to_pylist(), strict=True)]
+            counts[rows] = [n for _, n in done]
+            mask = np.zeros(batch.num_rows, bool)
+            mask[rows] = True
+            cols[at] = pc.replace_with_mask(cols[at], pa.array(mask), pa.array([t for t, _ in done], cols[at].type))
+        return pa.RecordBatch.from_arrays([*cols, pa.array(counts)], names=[*(n for n in names if n != places), words_cut])
 
     schema = T.StructType([f for f in both.schema if f.name != places]).add(words_cut, "long")
     return map_batches(both, run, schema, rows=256)

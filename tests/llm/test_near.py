@@ -144,9 +144,9 @@ def test_ids_with_several_texts_are_left_alone(spark):
 
 def test_a_hub_and_a_family_are_spread_over_tasks(spark):
     """Far more members than one search takes, in one component."""
-    star = spark.range(1, 4000).selectExpr("id as a", "0 as b")
+    star = spark.range(1, 6000).selectExpr("id as a", "0L as b").unionByName(spark.range(6000, 6010).selectExpr("id as a", "id - 1 as b"))
     got = {r["node"]: r["root"] for r in components(star).collect()}
-    assert got == {i: 0 for i in range(1, 4000)}
+    assert got == {i: 0 for i in range(1, 6010)}
     rows = spark.range(3000).selectExpr("7L as key", "id as node", "id as v").unionByName(spark.range(5000, 5010).selectExpr("8L as key", "id as node", "id as v"))
     cut = blocks._cut(rows, rows.groupBy("key").agg(F.count("*").alias("n")), 100)
     sizes = [r["count"] for r in cut.groupBy("key").count().collect()]
