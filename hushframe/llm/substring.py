@@ -220,11 +220,16 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = M
         lines = table(lines, "lines")
         windows = all_units.where("not whole").groupBy(*same).agg(F.min(F.struct("doc_id", "start", "words")).alias("keep"), F.count("*").alias("n"))
         near = paragraph_classes(docs, lines, similarity)
-        named = lines.join(near, "uid", "left").select(*same, F.coalesce("root", "uid").alias("root"), F.struct("first.doc_id", "first.start", "first.words").alias("first"), "n")
-        classes = named.where("root <> uid").select("root").unionByName(named.where("n > 1").select("root")).distinct()
-        named = table(named.join(classes, "root", "left_semi"), "named")
-        kept = named.groupBy("root").agg(F.min("first").alias("keep"))
-        kept = named.join(kept, "root").select(F.lit(True).alias("whole"), *same, "keep").unionByName(windows.where("n > 1").select(F.lit(False).alias("whole"), *same, "keep"))
+        # members of classes, and paragraphs that occur more than once
+        member = near.unionByName(near.select(F.col("root").alias("uid"), "root").distinct())
+        named = lines.join(member, "uid", "left").where("root is not null or n > 1")
+        named = table(named.select(*same, F.coalesce("root", "uid").alias("root"), F.struct("first.doc_id", "first.start", "first.words").alias("first")), "named")
+        kept = named.groupBy("root").agg(F.min("first").alias("keep"), F.count("*").alias("members"))
+        total, most = kept.agg(F.sum("members"), F.max("members")).first()
+        limit = max((total or 0) // HOT, LEAST)
+        hot = kept.where(F.col("members") > limit).select("root", "keep")  # at most HOT rows
+        kept = spread_join(named, kept.select("root", "keep"), "root", hot) if (most or 0) > limit else named.join(kept, "root")
+        kept = kept.select(F.lit(True).alias("whole"), *same, "keep").unionByName(windows.where("n > 1").select(F.lit(False).alias("whole"), *same, "keep"))
         spans = all_units.drop("bands").join(kept, ["whole", *same])
         other = F.when(F.col("whole"), (F.col("doc_id") != F.col("keep.doc_id")) | (F.col("start") != F.col("keep.start"))).otherwise(F.col("doc_id") != F.col("keep.doc_id"))
         hits = table(spans.where(other).select("whole", "doc_id", F.col("keep.doc_id").alias("keeper"), F.col("keep.start").alias("source"), "start", "words"), "hits")
