@@ -38,8 +38,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here and survives lost executors."""
+def table(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here and survives lost executors.
+
+    Spark deletes the shuffle files of finished jobs when the driver's garbage is collected, which a long chain of jobs with little
+    on the driver may not see for long; ``release`` asks for it, once the table stands and needs them no more.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -47,6 +51,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
     back.table_path = path
     if (made := _made.get()) is not None:
         made.append(back)
+    if release:
+        spark._jvm.System.gc()
     return back
 
 

@@ -172,7 +172,7 @@ def jaccard_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
 def paragraph_classes(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``lines(uid, first)``, distinct -> ``(uid, root)`` for paragraphs that are near another; nodes are uids."""
     posted = lines.select("uid", F.greatest(F.lit(1), F.col("first.words") / LONG).alias("weight"), F.explode("first.bands").alias("key"))
-    sizes = table(posted.groupBy("key").agg(F.count("*").alias("rows"), F.sum("weight").alias("n")).where("rows > 1"), "sizes")
+    sizes = table(posted.groupBy("key").agg(F.count("*").alias("rows"), F.sum("weight").alias("n")).where("rows > 1"), "sizes", release=True)
     total, most = sizes.agg(F.sum("rows"), F.max("rows")).first()
     limit, keyed = max((total or 0) // HOT, LEAST), posted.select("uid", "key")
     hot = sizes.where(F.col("rows") > limit).select("key")  # at most HOT rows
@@ -197,7 +197,8 @@ def paragraph_classes(docs: DataFrame, lines: DataFrame, similarity: float = SIM
         return jaccard_forest([np.sort(x.values.to_numpy().view(np.uint64)) for x in data], similarity)
 
     rows = map_batches(texts, run, "key long, node long, sets array<long>", rows=64)
-    return components(linked(rows, "sets", link, group=GROUP, sizes=sizes.select("key", "n"))).select(F.col("node").alias("uid"), "root")
+    links = table(linked(rows, "sets", link, group=GROUP, sizes=sizes.select("key", "n")), "links", release=True)
+    return components(links).select(F.col("node").alias("uid"), "root")
 
 
 def removals(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
@@ -217,13 +218,13 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = M
         all_units = table(units(docs, min_words, window, spacing), "units")
         same = ["uid", "more"]
         lines = all_units.where("whole").groupBy(*same).agg(F.min(F.struct("doc_id", "start", "words", "bands")).alias("first"), F.count("*").alias("n"))
-        lines = table(lines, "lines")
+        lines = table(lines, "lines", release=True)
         windows = all_units.where("not whole").groupBy(*same).agg(F.min(F.struct("doc_id", "start", "words")).alias("keep"), F.count("*").alias("n"))
         near = paragraph_classes(docs, lines, similarity)
         # members of classes, and paragraphs that occur more than once
         member = near.unionByName(near.select(F.col("root").alias("uid"), "root").distinct())
         named = lines.join(member, "uid", "left").where("root is not null or n > 1")
-        named = table(named.select(*same, F.coalesce("root", "uid").alias("root"), F.struct("first.doc_id", "first.start", "first.words").alias("first")), "named")
+        named = table(named.select(*same, F.coalesce("root", "uid").alias("root"), F.struct("first.doc_id", "first.start", "first.words").alias("first")), "named", release=True)
         kept = named.groupBy("root").agg(F.min("first").alias("keep"), F.count("*").alias("members"))
         total, most = kept.agg(F.sum("members"), F.max("members")).first()
         limit = max((total or 0) // HOT, LEAST)
@@ -232,9 +233,9 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = M
         kept = kept.select(F.lit(True).alias("whole"), *same, "keep").unionByName(windows.where("n > 1").select(F.lit(False).alias("whole"), *same, "keep"))
         spans = all_units.drop("bands").join(kept, ["whole", *same])
         other = F.when(F.col("whole"), (F.col("doc_id") != F.col("keep.doc_id")) | (F.col("start") != F.col("keep.start"))).otherwise(F.col("doc_id") != F.col("keep.doc_id"))
-        hits = table(spans.where(other).select("whole", "doc_id", F.col("keep.doc_id").alias("keeper"), F.col("keep.start").alias("source"), "start", "words"), "hits")
+        hits = table(spans.where(other).select("whole", "doc_id", F.col("keep.doc_id").alias("keeper"), F.col("keep.start").alias("source"), "start", "words"), "hits", release=True)
         beside = stretched(docs, hits.where("not whole").select("doc_id", "keeper", "source", "start"), window, spacing)
-        return keep(table(hits.select("doc_id", "keeper", "start", "words").unionByName(beside), "removals"))
+        return keep(table(hits.select("doc_id", "keeper", "start", "words").unionByName(beside), "removals", release=True))
 
 
 def stretched(docs: DataFrame, seeds: DataFrame, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
@@ -247,7 +248,7 @@ def stretched(docs: DataFrame, seeds: DataFrame, window: int = WINDOW, spacing:
     """
     row = Window.partitionBy("doc_id", "keeper", F.col("start") - F.col("source")).orderBy("start")
     edges = seeds.select("*", F.coalesce(F.lag("start").over(row) + window < F.col("start"), F.lit(True)).alias("left"), F.coalesce(F.lead("start").over(row) > F.col("start") + window, F.lit(True)).alias("right"))
-    edges = table(edges.where("left or right"), "edges")
+    edges = table(edges.where("left or right"), "edges", release=True)
     places = edges.select("doc_id", "start").unionByName(edges.select(F.col("keeper").alias("doc_id"), F.col("source").alias("start"))).distinct()
     wanted = places.groupBy("doc_id").agg(F.collect_list("start").alias("wanted"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted.hint("merge"), "doc_id")
@@ -267,7 +268,7 @@ def stretched(docs: DataFrame, seeds: DataFrame, window: int = WINDOW, spacing:
         words = pa.list_(pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(before, words), pa.array(after, words), pa.array([x for x, _ in room], pa.int32()), pa.array([x for _, x in room], pa.int32())], names=["doc_id", "start", "before", "after", "line_before", "line_after"]) if doc else None
 
-    around = table(map_batches(texts, run, "doc_id long, start int, before array<int>, after array<int>, line_before int, line_after int", rows=64).dropDuplicates(["doc_id", "start"]), "around")
+    around = table(map_batches(texts, run, "doc_id long, start int, before array<int>, after array<int>, line_before int, line_after int", rows=64).dropDuplicates(["doc_id", "start"]), "around", release=True)
     kept = around.select(F.col("doc_id").alias("keeper"), F.col("start").alias("source"), F.col("before").alias("kept_before"), F.col("after").alias("kept_after"))
     both = edges.join(around, ["doc_id", "start"]).join(kept, ["keeper", "source"])
 
@@ -349,7 +350,7 @@ def dedup_passages(docs: DataFrame, similarity: float = SIMILARITY, min_words: i
     with tables() as keep:
         found = removals(docs, similarity, min_words, window, spacing)
         per = found.groupBy(F.col("doc_id").alias(doc)).agg(F.sort_array(F.collect_set("keeper")).alias(keepers), F.collect_set(F.struct("start", "words")).alias(places))
-        per = keep(table(per, "spans"))
+        per = keep(table(per, "spans", release=True))
     both = docs.join(per.hint("merge"), docs["doc_id"].cast("long") == F.col(doc), "left").drop(doc)
     names = both.columns
     at = names.index("text")
