@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from hushframe.llm.blocks import forest, linked
 from hushframe.llm.components import components
-from hushframe.llm.kit import map_batches, mix, spread_join, table, tables, texts_of, unused, window_hashes
+from hushframe.llm.kit import drop_table, map_batches, mix, spread_join, table, tables, texts_of, unused, window_hashes
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 8, 3
 MIN_WORDS, WINDOW, SPACING, COVER = 25, 32, 20, 0.8
@@ -234,6 +234,8 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = M
         spans = all_units.drop("bands").join(kept, ["whole", *same])
         other = F.when(F.col("whole"), (F.col("doc_id") != F.col("keep.doc_id")) | (F.col("start") != F.col("keep.start"))).otherwise(F.col("doc_id") != F.col("keep.doc_id"))
         hits = table(spans.where(other).select("whole", "doc_id", F.col("keep.doc_id").alias("keeper"), F.col("keep.start").alias("source"), "start", "words"), "hits", release=True)
+        for done in (all_units, lines, named):  # the largest tables; stretching reads the texts
+            drop_table(done)
         beside = stretched(docs, hits.where("not whole").select("doc_id", "keeper", "source", "start"), window, spacing)
         return keep(table(hits.select("doc_id", "keeper", "start", "words").unionByName(beside), "removals", release=True))
 
