@@ -50,6 +50,7 @@ class Matcher:
                 node = node.setdefault(c, {})
             node[""] = w
             self.shorter[limit] |= _shorter(w, limit)
+        self.long = sorted({(len(w), _letters(w)) for w in words if len(w) >= 10})
         self.most = max(map(len, words), default=0) + 2
         self.clean: set[str] = set()
         self.hits: dict[str, tuple[str, float, bool]] = {}
@@ -90,8 +91,19 @@ class Matcher:
     def may_be_near(self, word: str) -> bool:
         """Whether word and term meet after deleting as many letters from each as the limit allows: all near words do."""
         one, two = self.shorter[1], self.shorter[2]
-        cut = _shorter(word, 1)
-        return not one.isdisjoint(cut) or (len(word) >= 8 and bool(two) and not two.isdisjoint({v for w in cut for v in _shorter(w, 1)}))
+        cut = {word, *[word[:i] + word[i + 1 :] for i in range(len(word))]}
+        if not one.isdisjoint(cut):
+            return True
+        return self._may_be_long(word) and not two.isdisjoint({v for w in cut for v in _shorter(w, 1)})
+
+    def _may_be_long(self, word: str) -> bool:
+        """Whether a term of ten letters or more has a length within two, and lacks at most two of the word's letters, and the word
+        two of its: an edit brings in or takes away one letter at most, a swap none."""
+        n = len(word)
+        if n < 8 or not self.long:
+            return False
+        own = _letters(word)
+        return any(-2 <= size - n <= 2 and (own & ~of).bit_count() <= 2 and (of & ~own).bit_count() <= 2 for size, of in self.long)
 
     def fuzzy(self, word: str) -> str | None:
         """The nearest term within its limit: rows of edit counts down the trie, dead branches left."""
@@ -115,6 +127,14 @@ class Matcher:
         return best[1] or None
 
 
+def _letters(word: str) -> int:
+    """The word's letters as bits, a bit for each remainder of 61; different letters may share one, which rules nothing out."""
+    bits = 0
+    for c in word:
+        bits |= 1 << ord(c) % 61
+    return bits
+
+
 def _shorter(word: str, limit: int) -> set[str]:
     """The word and what is left of it after deleting up to ``limit`` letters."""
     out = {word}
