@@ -80,31 +80,31 @@ def _(spark, sf_dir):
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
-def _by_segment(spark: SparkSession, sf_dir: str, raw: dict, k: int) -> list[tuple[str, Any]]:
+def _by_segment(spark: SparkSession, sf_dir: str, raw: dict, k: int) -> list[tuple[str, str]]:
     df, out = read(spark, sf_dir, "customer"), []
     for s in SEGMENTS:
         one = parse(raw | {"filters": [{"column": "c_mktsegment", "op": "==", "value": s}]})
         try:
             (value,) = run_plan(df, one, Policy(min_group_size=k)).values()
         except SafetyError:
-            value = None
-        out.append((s, value))
+            value = "refused"
+        out.append((s, str(value)))
     return out
 
 
-_segments_sql = " UNION ALL ".join(f"SELECT '{s}' AS segment, CASE WHEN count(*) >= 300 THEN {{}} END AS answer FROM customer WHERE c_mktsegment = '{s}'" for s in SEGMENTS)
+_segments_sql = " UNION ALL ".join(f"SELECT '{s}' AS segment, CASE WHEN count(*) >= 300 THEN CAST({{}} AS VARCHAR) ELSE 'refused' END AS answer FROM customer WHERE c_mktsegment = '{s}'" for s in SEGMENTS)
 
 
 @own("kanon_frame", _segments_sql.format(*["max(c_custkey)"] * 5))
 def _(spark, sf_dir):
     """A total for each segment; those of fewer than 300 customers are refused."""
     raw = {"operation": "aggregate", "metrics": [{"column": "c_custkey", "agg": "max"}]}
-    return rows(spark, _by_segment(spark, sf_dir, raw, 300), "segment string, answer long")
+    return rows(spark, _by_segment(spark, sf_dir, raw, 300), "segment string, answer string")
 
 
 @own("kanon_count", _segments_sql.format(*["count(*)"] * 5))
 def _(spark, sf_dir):
-    return rows(spark, _by_segment(spark, sf_dir, {"operation": "count_rows"}, 300), "segment string, answer long")
+    return rows(spark, _by_segment(spark, sf_dir, {"operation": "count_rows"}, 300), "segment string, answer string")
 
 
 @own("kanon_guarded", "SELECT c_nationkey AS region_code, round(max(c_acctbal), 4) AS most, 1000 AS claimed FROM customer WHERE c_acctbal > 0 GROUP BY 1 HAVING count(*) >= 55")
