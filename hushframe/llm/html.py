@@ -3,7 +3,7 @@
 A page is read once, left to right, by the rules browsers use for broken markup: raw-text elements end at their own end tag
 only, comments where the standard ends them, stray end tags are ignored, and a paragraph ends where the next block begins.
 Block-level tags cut the text into flat blocks.  Each block is described by its number of words and its link density, by
-those of the blocks before and after it, and by what encloses it.  A decision tree tells main text from the rest; it is
+those of the blocks before and after it, and by what encloses it (a table cell only if the text is the cell's own).  A decision tree tells main text from the rest; it is
 trained on the small labelled table that ``labelled`` lays out from page layouts: with and without semantic elements, with
 and without telling class names, so words and links of the neighbours decide where names tell nothing.
 """
@@ -41,7 +41,8 @@ HINTS = _names(
 REMARKS = _names("comment comments commentlist reply replies respond discussion disqus")
 OWN = _names("post article entry story title content")
 LAYOUT = _names("with has no without layout")
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "hinted", "article", "heading", "item")
+CONTENT = _names("content article post entry story body")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "hinted", "article", "heading", "item", "named")
 
 _attribute = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(\s*=\s*)?")
 _bare = re.compile(r"[^\s>]*")
@@ -150,8 +151,8 @@ def _raw_ends(name: str) -> re.Pattern:
 
 
 def _traits(name: str, attrs: dict[str, str], inside: bool) -> tuple[int, ...]:
-    """What an element adds to its contents: (furniture, hinted, article, hidden, link, heading, item, main)."""
-    furniture, hinted, article = name in FURNITURE or (name == "header" and not inside), False, name in ("article", "main")
+    """What an element adds to its contents: (furniture, hinted, article, hidden, link, heading, item, main, named)."""
+    furniture, hinted, article, named = name in FURNITURE or (name == "header" and not inside), False, name in ("article", "main"), False
     hidden = name in HIDDEN or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(_hiding.search(attrs.get("style", "").lower()))
     if name not in ("html", "body"):
         for key in ("class", "id", "role"):
@@ -163,22 +164,24 @@ def _traits(name: str, attrs: dict[str, str], inside: bool) -> tuple[int, ...]:
             if said & LAYOUT:
                 said -= HINTS  # says what stands beside it
             hinted |= bool(said & (REMARKS if name in ("article", "main") else HINTS))
+            named |= name in ("div", "section", "td") and bool(said & CONTENT) and not said & HINTS
             if key == "role":
                 furniture |= bool(said & {"navigation", "banner", "search"})
                 article |= bool(said & {"main", "article"})
-    heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
-    item = name in ("li", "td", "th", "dt", "dd", "figcaption")
-    return tuple(map(int, (furniture, hinted, article, hidden, name == "a" and "href" in attrs, heading, item, "data-main" in attrs)))
+    heading = int(name[1]) if len(name) == 2 and name[0] == "h" and name[1] in "123456" else 0  # its level
+    item = name in ("li", "dt", "dd", "figcaption")
+    return tuple(map(int, (furniture, hinted, article, hidden, name == "a" and "href" in attrs, heading, item, "data-main" in attrs, named)))
 
 
 class Block:
     """Text between two block-level tags, and what encloses its first word."""
 
-    __slots__ = ("text", "linked", "furniture", "hinted", "article", "heading", "item", "main")
+    __slots__ = ("text", "linked", "furniture", "hinted", "article", "heading", "item", "main", "named")
 
-    def __init__(self, text: str, linked: int, around: list[int]) -> None:
+    def __init__(self, text: str, linked: int, around: list[int], cell: bool) -> None:
         self.text, self.linked = text, linked
-        self.furniture, self.hinted, self.article, _, _, self.heading, self.item, self.main = (x > 0 for x in around)
+        self.furniture, self.hinted, self.article, _, _, _, self.item, self.main, self.named = (x > 0 for x in around)
+        self.heading, self.item = around[5], self.item or cell
 
 
 class _Stack:
@@ -187,7 +190,7 @@ class _Stack:
     def __init__(self) -> None:
         self.items: list[tuple[str, tuple[int, ...]]] = []
         self.open: dict[str, int] = {}
-        self.sum = [0] * 8
+        self.sum = [0] * 9
 
     def push(self, name: str, traits: tuple[int, ...]) -> None:
         self.items.append((name, traits))
@@ -219,6 +222,10 @@ class _Stack:
                 if self.open.get(like) and self._near(like, stop=lambda x: x in _SIBLINGS[name] or x in HIDDEN):
                     self.close(like)
 
+    def in_cell(self) -> bool:
+        """Whether text here is a table cell's own, not that of a block in it (a table may lay out the page)."""
+        return next((x in ("td", "th") for x, _ in reversed(self.items) if x not in INLINE), False)
+
     def _near(self, name: str, stop) -> bool:
         for x, _ in reversed(self.items):
             if x == name:
@@ -233,12 +240,13 @@ def blocks_of(page: str) -> list[Block]:
     out, stack = [], _Stack()
     parts: list[str] = []
     around: list[int] | None = None
+    cell = False
     linked = breaks = 0
 
     def cut() -> None:
         nonlocal parts, around, linked, breaks
         if around is not None:
-            out.append(Block(" ".join("".join(parts).split()), linked, around))
+            out.append(Block(" ".join("".join(parts).split()), linked, around, cell))
         parts, around, linked, breaks = [], None, 0, 0
 
     for kind, *what in Reader(page).events():
@@ -247,7 +255,8 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             text = unescape(what[0])
             if text.strip():
-                around = stack.sum if around is None else around
+                if around is None:
+                    around, cell = stack.sum, stack.in_cell()
                 if stack.sum[4]:
                     linked += len(text.strip())
                 breaks = 0
@@ -269,7 +278,7 @@ def blocks_of(page: str) -> list[Block]:
         if name not in UNBROKEN and not stray and not (hidden and stack.sum[3]):  # what is not shown cuts nothing
             cut()
         if kind == "start" and name not in VOID and not what[2]:
-            stack.push(name, (0, 0, 0, 1, 0, 0, 0, 0) if name in RAW else _traits(name, what[1], stack.sum[2] > 0))
+            stack.push(name, (0, 0, 0, 1, 0, 0, 0, 0, 0) if name in RAW else _traits(name, what[1], stack.sum[2] > 0))
     cut()
     return out
 
@@ -310,18 +319,20 @@ class _Layouts:
         out = [f"<h1 data-main>{self.words(r.randint(1, 12))}</h1>"]
         for _ in range(r.randint(3, 9)):
             kind = r.random()
-            if kind < 0.5 or len(out) == 1 and not whole:
+            if kind < 0.5 or len(out) == 1 and not whole and r.random() < 0.7:
                 out.append(f"<p data-main>{self.words(r.choice((r.randint(15, 140), r.randint(100, 600))))}</p>")
             elif kind < 0.62:  # short ones; a plain page has a long one beside them
-                short, long = f"<p data-main>{self.words(r.randint(1, 9))}</p>", f"<p data-main>{self.words(r.randint(20, 60))}</p>"
-                out.append(short if whole else r.choice((short + long, long + short + long)))
+                short, long = "".join(f"<p data-main>{self.words(r.randint(1, 9))}</p>" for _ in range(r.choice((1, 1, 2, 3)))), f"<p data-main>{self.words(r.randint(20, 60))}</p>"
+                out.append(short if whole else r.choice((short + long, long + short + long, f"<h2 data-main>{self.words(3)}</h2>{short}{long}")))
             elif kind < 0.74:  # rich in links, but prose
                 out.append(f"<p data-main>{' '.join(self.words(r.randint(5, 9)) + ' ' + self.link(r.randint(2, 5)) for _ in range(r.randint(2, 6)))}</p>")
             elif kind < 0.84:
-                out.append(f"<h2 data-main>{self.words(r.randint(1, 7))}</h2><p data-main>{self.words(r.randint(18, 70))}</p>")
+                head = r.choice(("h2", "h2", "h3"))
+                out.append(f"<{head} data-main>{self.words(r.randint(1, 7))}</{head}><p data-main>{self.words(r.randint(18, 70))}</p>")
             elif kind < 0.92:
                 least = 1 if whole else 10
-                out.append("<ul>" + "".join(f"<li data-main>{self.words(r.randint(least, 16))}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
+                row, cell = r.choice((("<ul>%s</ul>", "li"), ("<table><tr>%s</tr></table>", "td")))
+                out.append(row % "".join(f"<{cell} data-main>{self.words(r.randint(least, 16))}</{cell}>" for _ in range(r.randint(2, 6))))
             else:
                 out.append(f"<blockquote data-main>{self.words(r.randint(12, 40))}</blockquote>")
         if not whole:
@@ -336,15 +347,16 @@ class _Layouts:
 
     def page(self) -> str:
         r = self.rng
-        kind = r.choice(("semantic", "article", "classes", "plain", "plain"))
-        whole = kind in ("semantic", "article")
+        kind = r.choice(("semantic", "article", "classes", "classes", "plain", "plain", "plain"))
+        name = r.choice(("post-content", "content", "entry", "article-body", "story", "body", "wrap", "page")) if kind == "classes" else ""
+        whole = kind in ("semantic", "article") or bool(CONTENT & {*_cut.split(name)})
         body = self.main(whole)
         names = ("sidebar", "ad", "comments", "related", "cookie notice", "share", "newsletter")
         if kind != "plain":
             for _ in range(r.randint(0, 2)):  # advertisements and the like between the paragraphs
                 body.insert(r.randint(1, len(body)), self.side(r.choice(names), r.randint(2, 60)))
             if r.random() < 0.4:
-                body.append(self.menu(r.randint(3, 6)) if not whole else f"<div class=tags>{self.menu(3)}</div>")
+                body.append(self.menu(r.randint(3, 6)) if kind == "classes" else f"<div class=tags>{self.menu(3)}</div>")
         if whole:  # elements that are never main, inside the article
             for _ in range(r.randint(0, 2)):
                 tag = r.choice(("aside", "form", "nav", "footer"))
@@ -358,7 +370,7 @@ class _Layouts:
             around = lambda: "".join(r.choice((self.menu(4), f"<div>{self.words(r.randint(1, 70))}</div>", self.side(r.choice(names), 20), f"<h3>{self.words(3)}</h3>")) for _ in range(r.randint(1, 4)))
             return f"{around()}<article>{''.join(body)}</article>{around()}"
         if kind == "classes":
-            return f"<div class=header><div>{self.words(3)}</div></div><div class=menu>{self.menu(6)}</div><div id=content>{''.join(body)}</div>{self.side('sidebar', 40)}{self.side('comments', 60)}<div class=footer><p>{self.words(r.randint(2, 30))}</p></div>"
+            return f"<div class=header><div>{self.words(3)}</div></div><div class=menu>{self.menu(6)}</div><div {r.choice(("id", "class"))}={name}>{''.join(body)}</div>{self.side('sidebar', 40)}{self.side('comments', 60)}<div class=footer><p>{self.words(r.randint(2, 30))}</p></div>"
         # nothing is named: menus, a line above the title, rows of contact data, headings of link lists
         short = lambda: r.choice((f"<div>{self.words(r.randint(1, 6))}</div>", "", f"<h3>{self.words(2)}</h3>{self.menu(3)}"))
         cells = "".join(f"<li>{self.words(r.randint(1, 9))}</li>" for _ in range(r.randint(2, 7)))
@@ -368,11 +380,13 @@ class _Layouts:
         if r.random() < 0.35:  # a page with little else, or little at all
             few = body if r.random() < 0.5 else [f"<h1 data-main>{self.words(r.randint(1, 4))}</h1>"] * r.randint(0, 1) + [f"<p data-main>{self.words(r.randint(2, 12))}</p>"] * r.randint(1, 3)
             return r.choice(("", self.side("header", 2), self.side("comments", 40))) + "".join(few)
+        if r.random() < 0.2:  # a table lays out the page
+            return f"<table><tr><td>{self.menu(r.randint(3, 8))}</td><td>{''.join(body)}</td></tr></table>{short()}{''.join(foot)}"
         return f"{short()}{self.menu(r.randint(3, 8))}{short()}{''.join(body)}{self.menu(r.randint(2, 6))}{''.join(foot)}"
 
 
 #: Pages of the labelled table, and what fixes their layouts.
-PAGES, SEED = 800, 3
+PAGES, SEED = 1000, 3
 
 
 @cache
@@ -390,19 +404,20 @@ def table_of(pages: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
 
 @cache
 def model() -> Nodes:
-    return decision_tree(*table_of(labelled()), depth=11, least=3)
+    return decision_tree(*table_of(labelled()), depth=14, least=3)
 
 
-def main_text(page: str) -> str:
+def main_text(page: str, tree: Nodes | None = None) -> str:
     """Main blocks joined by newlines; empty if the page has none.  Hints count only where something is left without them."""
     blocks = blocks_of(page)
     if not blocks:
         return ""
+    tree = tree or model()
     x = features(blocks)
-    keep = model().score(x) >= 0.5
+    keep = tree.score(x) >= 0.5
     if not keep.any():  # a hint on what encloses everything tells nothing
         x[:, FEATURES.index("hinted")] = 0
-        keep = model().score(x) >= 0.5
+        keep = tree.score(x) >= 0.5
     return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
@@ -412,9 +427,10 @@ def extract(pages: DataFrame) -> DataFrame:
     A null or empty page, or one without main text, has an empty text; repeated rows and rows with a null page_id or url give a
     row each; an empty table gives an empty table; other columns are ignored, whatever their names; nothing is capped.
     """
+    tree = model()  # fitted once, on the driver
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [main_text(x or "") for x in batch.column("html").to_pylist()]
+        texts = [main_text(x or "", tree) for x in batch.column("html").to_pylist()]
         count = [0 if not t else t.count("\n") + 1 for t in texts]
         columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(count, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "n_blocks"])

@@ -132,6 +132,22 @@ def test_every_feature_is_used_and_unseen_layouts_are_read():
     assert ((nodes.score(x) >= 0.5) == y).mean() > 0.99
 
 
+MENU = "<ul>" + "".join(f"<li><a href=/{i}>menu {i}</a></li>" for i in range(5)) + "</ul>"
+PROSE = " ".join(["prose"] * 40)
+
+
+@pytest.mark.parametrize("name", ["post-content", "entry", "article-body", "story"])
+def test_named_containers_keep_short_items_and_cells(name):
+    inner = f"<h1>Head</h1><p>{PROSE}</p><ul><li>one two</li><li>three</li></ul><p>{PROSE}</p><table><tr><td>a b</td><td>c</td></tr></table><p>{PROSE}</p>"
+    page = f"<div class=menu>{MENU}</div><div class='{name}'>{inner}</div><div class={name}-comments><p>{PROSE} no</p></div><div id=footer>tail line</div>"
+    assert html.main_text(page) == f"Head\n{PROSE}\none two\nthree\n{PROSE}\na b\nc\n{PROSE}"
+
+
+def test_tables_that_lay_out_the_page():
+    page = f"<table><tr><td class=menu>{MENU}</td><td><h1>Head of five words here</h1><p>{PROSE}</p><h2>Part</h2><p>{PROSE}</p></td></tr></table><div class=footer>tail</div>"
+    assert html.main_text(page) == f"Head of five words here\n{PROSE}\nPart\n{PROSE}"
+
+
 def test_link_rich_paragraphs_and_unclosed_buttons():
     rich = "<article><h1>Head line</h1><p>one two <a href=x>three four five</a> six seven</p><button>Share<p>eight nine ten eleven</p><p>twelve thirteen</p></article>"
     assert html.main_text(rich) == "Head line\none two three four five six seven\neight nine ten eleven\ntwelve thirteen"
