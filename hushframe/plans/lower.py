@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from hushframe.errors import SafetyError
 from hushframe.plans.plan import Metric, Plan
+from hushframe.plans.quantiles import bracketed, large
 from hushframe.types import is_boolean, is_numeric, is_text, is_time, present, quoted
 
 #: Of approximate quantiles: the rank is off by 1/ACCURACY of the rows at most.
@@ -121,7 +122,7 @@ def lower(df: DataFrame, plan: Plan, k: int | None = None, cap: int = 50, exact:
     if plan.operation == "count_rows":
         return rows.agg(F.count("*").alias("count")).withColumn(ROWS, F.col("count"))
     if plan.operation == "aggregate":
-        return rows.agg(*[metric(rows, m, exact) for m in plan.metrics], F.count("*").alias(ROWS))
+        return aggregate(rows, plan.metrics, exact)
     if plan.operation == "describe":
         return describe(rows, limit, exact)
     if plan.operation == "value_counts":
@@ -140,22 +141,43 @@ def lower(df: DataFrame, plan: Plan, k: int | None = None, cap: int = 50, exact:
     return out if plan.include_count else out.drop("count")
 
 
+def aggregate(rows: DataFrame, metrics: tuple[Metric, ...], exact: bool = True) -> DataFrame:
+    """Metrics of the whole frame and its number of rows; exact medians of a large frame are bracketed."""
+    medians = [m for m in metrics if m.agg == "median"] if exact else []
+    if not medians or not large(rows):
+        return rows.agg(*[metric(rows, m, exact) for m in metrics], F.count("*").alias(ROWS))
+    of = [present(rows, m.column) for m in medians]
+    middle = bracketed(rows, [c.cast("int") if is_boolean(rows.schema[m.column].dataType) else c for c, m in zip(of, medians, strict=True)], (0.5,))
+    one = rows.agg(*[metric(rows, m) for m in metrics if m.agg != "median"], F.count("*").alias(ROWS))
+    found = {m: F.try_element_at(middle, F.lit(i)).alias(m.name) for i, m in enumerate(medians)}
+    return one.select(*[found.get(m, quoted(m.name)) for m in metrics], ROWS)
+
+
 STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
 def describe(df: DataFrame, columns: int, exact: bool = True) -> DataFrame:
     """Eight statistics of the first numeric columns, one row for each statistic.
 
-    Exact quantiles keep every distinct value of a column in one task; ``exact=False`` keeps a sketch of bounded size.
+    Exact quantiles of a large frame are bracketed; ``exact=False`` keeps a sketch of bounded size.
     """
     names = [f.name for f in df.schema.fields if is_numeric(f.dataType)][:columns]
     if not names:
         raise SafetyError("describe needs a numeric column")
+    quarters, values = (0.25, 0.5, 0.75), [present(df, n).cast("double") for n in names]
+    apart = bracketed(df, values, quarters) if exact and large(df) else None
     aggs = []
-    for i, n in enumerate(names):
-        c = present(df, n).cast("double")
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact else F.percentile_approx(c, [0.25, 0.5, 0.75], ACCURACY)
-        aggs += [F.array(F.count(c).cast("double"), F.avg(c), F.stddev_samp(c), F.min(c), q[0], q[1], q[2], F.max(c)).alias(f"c{i}")]
+    for i, c in enumerate(values):
+        if apart is not None:
+            q = F.lit(None).cast("array<double>")
+        else:
+            q = F.percentile(c, F.array(*map(F.lit, quarters))) if exact else F.percentile_approx(c, list(quarters), ACCURACY)
+        aggs += [F.array(F.count(c).cast("double"), F.avg(c), F.stddev_samp(c), F.min(c), F.max(c)).alias(f"s{i}"), q.alias(f"q{i}")]
     one = df.agg(*aggs, F.count("*").alias(ROWS))
+    if apart is not None:
+        one = one.withColumn("apart", apart)
+    quarter = lambda i, j: F.col(f"q{i}")[j] if apart is None else F.try_element_at(F.col("apart"), F.lit(i * len(quarters) + j))
+    whole = lambda i: [F.col(f"s{i}")[j] for j in range(4)] + [quarter(i, j) for j in range(3)] + [F.col(f"s{i}")[4]]
+    one = one.select(*[F.array(*whole(i)).alias(f"c{i}") for i in range(len(names))], ROWS)
     rows = F.array(*[F.struct(F.lit(s).alias("index"), *[F.col(f"c{i}")[j].alias(n) for i, n in enumerate(names)]) for j, s in enumerate(STATS)])
     return one.select(F.explode(rows).alias("r"), ROWS).select(*[F.col("r").getField(n).alias(n) for n in ("index", *names)], ROWS)

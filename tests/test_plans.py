@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hushframe.errors import SafetyError
 from hushframe.operators.receipt import format_receipt
 from hushframe.plans.execute import execute, prepare, run_plan, safe_query
+from hushframe.plans import quantiles
 from hushframe.plans.lower import lower, predicate
 from hushframe.plans.plan import extract_json, parse, validate
 from hushframe.policy import Policy
@@ -156,3 +157,30 @@ def test_failures_are_closed(trips):
     ready.plan = parse(fares("count"))
     got = execute(ready)
     assert got.blocked and got.answer is None and got.receipt["outcome"]["refused"]
+
+
+def stirred(spark, n):
+    """Values with ties, gaps and a skew; nulls, NaN, and a column without values."""
+    x = (F.col("id") * 7919) % 10007
+    return spark.range(n).select((x * 0.37).alias("fare"), F.when(x % 3 > 0, x % 5).alias("crew"), F.when(x % 4 == 0, F.lit(float("nan"))).otherwise(x * x).alias("load"), F.lit(None).cast("double").alias("none"), (x % 2 == 0).alias("full"))
+
+
+@pytest.mark.parametrize("n", [0, 2, 30_000])
+def test_bracketed_quantiles_are_those_of_whole_columns(spark, monkeypatch, n):
+    df, few = stirred(spark, n), {"agg": "median"}
+    metrics = [few | {"column": "fare"}, {"column": "crew", "agg": "sum"}, few | {"column": "none"}, few | {"column": "load", "as_name": "mid"}, few | {"column": "full"}]
+    plans = [parse({"operation": "describe"}), parse({"operation": "aggregate", "metrics": metrics})]
+    want = [[r.asDict() for r in lower(df, p).collect()] for p in plans]
+    monkeypatch.setattr(quantiles, "LARGE", 0)
+    monkeypatch.setattr(quantiles, "FEW", 20_000)
+    wide = [lower(df, p) for p in plans]
+    assert [[r.asDict() for r in w.collect()] for w in wide] == want
+    assert all("percentile(" not in w._jdf.queryExecution().optimizedPlan().toString() for w in wide)
+
+
+def test_a_bracket_that_misses_fails(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "LARGE", 0)
+    monkeypatch.setattr(quantiles, "FEW", 1)
+    monkeypatch.setattr(quantiles, "MARGIN", -0.2)
+    with pytest.raises(Exception, match="outside its bracket|bracket"):
+        lower(stirred(spark, 30_000).select("fare"), parse({"operation": "describe"})).collect()
